@@ -7,8 +7,11 @@ import uuid
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,7 +50,7 @@ def text_batches(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 <<
     """Slices of record batches whose text column holds about `limit` bytes, one row at least."""
     for batch in batches:
         column, start, size = batch.column(text), 0, 0
-        lengths = pa.compute.binary_length(column).to_pylist()
+        lengths = pc.binary_length(column).to_pylist()
         for i, n in enumerate(lengths):
             if size and size + (n or 0) > limit:
                 yield batch.slice(start, i - start)
@@ -61,10 +64,9 @@ def record_batch(columns: Sequence, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def arrow_schema(df_schema) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(df_schema)
+def ddl_schema(ddl: str) -> pa.Schema:
+    """The Arrow form of a DDL schema."""
+    return to_arrow_schema(T.StructType.fromDDL(ddl))
 
 
 def utf8(column: str) -> Column:

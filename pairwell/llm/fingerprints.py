@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwell.llm.common import arrow_schema, materialize, read_table, record_batch, text_batches
+from pairwell.llm.common import ddl_schema, materialize, read_table, record_batch, text_batches
 from pairwell.llm.ordering import IdRanges, id_ranges
 
 SPACES = re.compile(r"\s+")
@@ -48,7 +48,7 @@ def digest(canon: bytes) -> str:
 def canonical_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and wide hash of every canonical text, straight from the scan."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    out = arrow_schema(source.select("doc_id", F.lit("").alias("hash")).schema)
+    out = ddl_schema("doc_id long, hash string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, "text"):
@@ -130,8 +130,7 @@ def _row(doc_id: int | None, text: str, canon: bytes, own: str, marked: set[str]
 
 def fingerprint_rows(ordered: DataFrame) -> DataFrame:
     """Streams the sorted rows once: hashes, the edited text's, and the canonical bytes of bucket members."""
-    probe = ordered.sparkSession.createDataFrame([], FINGERPRINTED)
-    out = arrow_schema(probe.schema)
+    out = ddl_schema(FINGERPRINTED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending, marked, marked_id, ready = None, set(), None, []

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pairwell.llm import fingerprints, sharding
+from pairwell.llm import fingerprints, packing, sharding, simhash, token_files
 
 QUERIES = {
+    "op1_pigeonring_simhash": simhash.op1_pigeonring_simhash,
+    "op5_simple8b_files": token_files.op5_simple8b_files,
+    "op8_power_of_two": packing.op8_power_of_two,
     "op9_virtual_slots": sharding.op9_virtual_slots,
     "op10_canonical_digest": fingerprints.op10_canonical_digest,
 }
