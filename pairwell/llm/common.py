@@ -72,3 +72,11 @@ def ddl_schema(ddl: str) -> pa.Schema:
 def utf8(column: str) -> Column:
     """The text as its UTF-8 bytes; null is empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
+
+
+def fresh_name(df: DataFrame, base: str) -> str:
+    """A column name that df does not have, whatever its case."""
+    taken, name = {c.lower() for c in df.columns}, base
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

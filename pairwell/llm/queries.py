@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pairwell.llm import fingerprints, gif, packing, sharding, simhash, token_files, warc
+from pairwell.llm import fingerprints, gif, language, packing, quality, sharding, simhash, token_files, warc
 
 QUERIES = {
     "op1_pigeonring_simhash": simhash.op1_pigeonring_simhash,
     "op2_salvage_reader": warc.op2_salvage_reader,
+    "op3_weak_labels": quality.op3_weak_labels,
     "op4_gif_frames": gif.op4_gif_frames,
     "op5_simple8b_files": token_files.op5_simple8b_files,
+    "op6_ftrl_language": language.op6_ftrl_language,
     "op8_power_of_two": packing.op8_power_of_two,
     "op9_virtual_slots": sharding.op9_virtual_slots,
     "op10_canonical_digest": fingerprints.op10_canonical_digest,
