@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pairwell.llm import fingerprints, gif, language, packing, quality, sharding, simhash, token_files, warc
+from pairwell.llm import fingerprints, gif, language, packing, pieces, quality, sharding, simhash, token_files, warc
 
 QUERIES = {
     "op1_pigeonring_simhash": simhash.op1_pigeonring_simhash,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_gif_frames": gif.op4_gif_frames,
     "op5_simple8b_files": token_files.op5_simple8b_files,
     "op6_ftrl_language": language.op6_ftrl_language,
+    "op7_merge_dropout": pieces.op7_merge_dropout,
     "op8_power_of_two": packing.op8_power_of_two,
     "op9_virtual_slots": sharding.op9_virtual_slots,
     "op10_canonical_digest": fingerprints.op10_canonical_digest,

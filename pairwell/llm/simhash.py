@@ -33,10 +33,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwell.llm.common import ddl_schema, materialize, read_table, record_batch, text_batches
+from pairwell.llm.common import ddl_schema, fresh_name, materialize, read_table, record_batch, text_batches
 from pairwell.llm.components import connected_components
 
 WORDS, BITS, SEED = 4, 4, 42
+#: Words of a shingle where no contract fixes them.
+STAGE_WORDS = 5
 SEGMENTS, SEGMENT_BITS = 8, 8
 DENSE = 20_000
 
@@ -210,6 +212,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(of_class, "fp").select("doc_id", "fp", "component_id", "label")
 
 
+def keep_one(docs: DataFrame, words: int = STAGE_WORDS) -> DataFrame:
+    """One document of each component stays, the one with the smallest id; all columns stay.
+
+    Of repeated rows of that id one stays. Rows without an id stay: nothing names them.
+    """
+    keeper = fresh_name(docs, "keeper_id")
+    keepers = near_duplicates(docs, words=words).select(F.col("component_id").alias(keeper)).distinct()
+    kept = docs.join(keepers, docs["doc_id"] == F.col(keeper), "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+
+
 def op1_pigeonring_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = near_duplicates(read_table(spark, sf_dir, "documents"))
