@@ -175,9 +175,11 @@ def parse_strict(text: str | None, depth: int = 100):
         raise ValueError(f"not a JSON number: {name}")
 
     def deep(value, left):
-        if left < 0:
+        if not isinstance(value, dict | list):
+            return
+        if left == 0:
             raise ValueError("too deep")
-        for x in value.values() if isinstance(value, dict) else value if isinstance(value, list) else ():
+        for x in value.values() if isinstance(value, dict) else value:
             deep(x, left - 1)
 
     try:
