@@ -17,27 +17,27 @@ _WIDTH_OF = np.array([0, *WIDTHS])
 _COUNT_OF = np.array([1, *COUNTS])
 
 
-def _reach(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How many ids a word that begins at each position takes, and its selector.
+_TOPS = np.array([(1 << w) - 1 for w in WIDTHS], np.uint64)
+#: (ids per word, the widest class they may have, selector), fewest ids first.
+_CHOICES = tuple((COUNTS[s - 1], s - 1, s) for s in range(len(COUNTS), 0, -1))
 
-    ends: for each position, where its document ends.
-    """
+
+def _reach(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The most ids that a word can take at each position, and its selector; 0 for an escape."""
     n = len(ids)
-    at = np.arange(n)
-    take = np.zeros(n, np.int64)
-    selector = np.zeros(n, np.int64)
-    for s in range(len(WIDTHS), 0, -1):
-        width, count = WIDTHS[s - 1], COUNTS[s - 1]
-        wide = np.flatnonzero(ids >> np.uint64(width))
-        next_wide = np.full(n + 1, n, np.int64)
-        next_wide[wide] = wide
-        next_wide = np.minimum.accumulate(next_wide[::-1])[::-1][:n]
-        room = np.minimum(next_wide, ends) - at
-        got = np.minimum(room, count)
-        better = got > take
-        take[better] = got[better]
-        selector[better] = s
-    take[take == 0] = 1
+    need = np.searchsorted(_TOPS, ids).astype(np.uint8)  # the narrowest class that holds each id
+    take, selector = np.ones(n, np.uint8), np.zeros(n, np.uint8)
+    widest, span = need, 1  # the widest class among the next `span` ids
+    for count, width, s in _CHOICES:
+        while span < count:
+            step = min(span, count - span)
+            widest = np.maximum(widest[: n - span - step + 1], widest[step:]) if n >= span + step else widest[:0]
+            span += step
+        fits = np.flatnonzero(widest <= width)
+        if not len(fits):
+            break
+        take[fits] = count
+        selector[fits] = s
     return take, selector
 
 
@@ -47,14 +47,16 @@ def encode(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     counts = np.asarray(counts, np.int64)
     if not len(ids):
         return np.empty(0, np.uint64), np.zeros(len(counts), np.int64)
-    ends = np.repeat(np.cumsum(counts), counts)
-    take, selector = _reach(ids, ends)
-    steps, starts, i, n = take.tolist(), [], 0, len(ids)
-    while i < n:
-        starts.append(i)
-        i += steps[i]
+    take, selector = _reach(ids)
+    steps, starts, n, i = take.tolist(), [], len(ids), 0
+    for end in np.cumsum(counts).tolist():  # a word that would run into the next document stays part empty
+        while i < end:
+            starts.append(i)
+            i += steps[i]
+        i = end
     starts = np.array(starts)
-    sel, got = selector[starts], take[starts]
+    doc = np.repeat(np.arange(len(counts)), counts)[starts]
+    sel, got = selector[starts].astype(np.int64), np.minimum(take[starts], np.cumsum(counts)[doc] - starts)
     escaped = sel == 0
     place = np.arange(len(starts)) + np.cumsum(escaped) - escaped
     words = np.zeros(len(starts) + int(escaped.sum()), np.uint64)
@@ -71,7 +73,6 @@ def encode(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
             part = ids[np.minimum(starts[rows] + j, n - 1)] << np.uint64(j * WIDTHS[s - 1])
             value |= np.where(there, part, np.uint64(0))
         words[place[rows]] = value
-    doc = np.repeat(np.arange(len(counts)), counts)[starts]
     return words, np.bincount(doc, weights=1 + escaped, minlength=len(counts)).astype(np.int64)
 
 

@@ -7,15 +7,18 @@ same places as the tokenizer's own pattern makes them; the ids equal those of
 a whole-text call (tests compare them).
 
 Two levels: runs of non-space characters, and below them single pre-tokens.
-Both caches are bounded in two generations: a full one becomes the old one.
+Both caches are bounded: a full one is cut back to what the last batch used,
+which holds the frequent words.
 """
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
 from collections.abc import Callable, Iterable
+from itertools import chain
 
 import numpy as np
 import regex
@@ -24,26 +27,31 @@ import regex
 _GAP, _INK = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
 _CONTROL = re.compile("[\x1c-\x1f]")
 
-CACHE_WORDS = 400_000
-CACHE_PIECES = 300_000
+#: What lies outside the Latin blocks, where libraries' Unicode versions may differ, and the letter that falls apart in lower case.
+_UNSETTLED = re.compile("[^\x00-\u024f]|\u0130")
 
 
-class _Cache:
-    """A dictionary of at most `size` entries, with those of one generation before as a second chance."""
+def _settled(text: str) -> bool:
+    """Whether composing changes nothing and Python's letter classes and lower case are the tokenizer's."""
+    return text.isascii() or not _UNSETTLED.search(text)
 
-    def __init__(self, size: int) -> None:
-        self.size, self.new, self.old = size, {}, {}
 
-    def get(self, key: str) -> bytes | None:
-        found = self.new.get(key)
-        if found is None and (found := self.old.get(key)) is not None:
-            self.put(key, found)
-        return found
+CACHE_WORDS = 600_000
+CACHE_PIECES = 500_000
 
-    def put(self, key: str, value: bytes) -> None:
-        if len(self.new) >= self.size // 2:
-            self.old, self.new = self.new, {}
-        self.new[key] = value
+
+def _signs() -> dict[int, str]:
+    """The printable sign of each byte in byte-level vocabularies: itself, or the next from U+0100 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_SIGNS = _signs()
+
+
+def byte_signs(text: str) -> str:
+    return text.encode().decode("latin-1").translate(_SIGNS)
 
 
 class Encoder:
@@ -55,7 +63,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.words, self.pieces = _Cache(CACHE_WORDS), _Cache(CACHE_PIECES)
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def split(self, text: str) -> list[str]:
         raise NotImplementedError
@@ -65,35 +74,40 @@ class Encoder:
 
     def encode_batch(self, texts: Iterable[str]) -> list[bytes]:
         """The ids of each whole text."""
+        collecting = gc.isenabled()
+        gc.disable()  # the many short lists of a batch hold no cycles
+        try:
+            return self._encode_batch(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode_batch(self, texts: Iterable[str]) -> list[bytes]:
         texts = [self.split(t) if t else [] for t in texts]
-        found: dict[str, bytes] = {}
-        fresh: dict[str, list[str]] = {}
-        for words in texts:
-            for w in set(words).difference(found, fresh):
-                ids = self.words.get(w)
-                if ids is None:
-                    fresh[w] = self.pretokens(w)
-                else:
-                    found[w] = ids
+        met = set(chain.from_iterable(texts))
+        fresh = {w: self.pretokens(w) for w in met if w not in self.words}
         if fresh:
-            known: dict[str, bytes] = {}
-            unknown: dict[str, None] = {}
-            for parts in fresh.values():
-                for p in parts:
-                    if p not in known and p not in unknown:
-                        ids = self.pieces.get(p)
-                        if ids is None:
-                            unknown[p] = None
-                        else:
-                            known[p] = ids
-            for p, e in zip(unknown, self.tokenizer.encode_batch_fast(list(unknown), add_special_tokens=False)):
-                known[p] = ids = array("I", e.ids).tobytes()
-                self.pieces.put(p, ids)
+            merge, signs = self.tokenizer.model.tokenize, byte_signs
+            parts_met = set(chain.from_iterable(fresh.values()))
+            unknown = [p for p in parts_met if p not in self.pieces]
+            rest = []
+            for p in unknown:
+                if _settled(p) and not _CONTROL.search(p):  # one pre-token, so the merges alone are left to do
+                    self.pieces[p] = array("I", [t.id for t in merge(signs(p))]).tobytes()
+                else:
+                    rest.append(p)
+            for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+                self.pieces[p] = array("I", e.ids).tobytes()
+            piece = self.pieces.__getitem__
             for w, parts in fresh.items():
-                found[w] = ids = known[parts[0]] if len(parts) == 1 else b"".join(map(known.__getitem__, parts))
-                self.words.put(w, ids)
-        look = found.__getitem__
-        return [b"".join(map(look, words)) for words in texts]
+                self.words[w] = piece(parts[0]) if len(parts) == 1 else b"".join(map(piece, parts))
+            if len(self.pieces) > CACHE_PIECES:
+                self.pieces = {p: self.pieces[p] for p in parts_met}
+        word = self.words.__getitem__
+        coded = [b"".join(map(word, words)) for words in texts]
+        if len(self.words) > CACHE_WORDS:
+            self.words = {w: self.words[w] for w in met}
+        return coded
 
 
 class ByteEncoder(Encoder):
@@ -107,21 +121,28 @@ class ByteEncoder(Encoder):
         return (self._exact if _CONTROL.search(text) else self._plain).findall(text)
 
     def pretokens(self, word: str) -> list[str]:
-        return [word] if _CONTROL.search(word) else self._pre.findall(word)
+        if word.isascii() and word.lstrip(" ").isalpha() or not _settled(word) or _CONTROL.search(word):
+            return [word]
+        return self._pre.findall(word)
 
 
 class WordEncoder(Encoder):
-    """For the lower-casing tokenizer, which drops white space."""
+    """For the lower-casing tokenizer, which composes characters first and drops white space."""
 
     _exact = re.compile(rf"{_INK}+")
     _pre = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
     def split(self, text: str) -> list[str]:
+        if _settled(text):
+            text = text.lower()
         return self._exact.findall(text) if _CONTROL.search(text) else text.split()
 
     def pretokens(self, word: str) -> list[str]:
-        # normalising may move borders between letters and other signs, so only plain words are cut further
-        return (self._pre.findall(word.lower()) or [word]) if word.isascii() and not _CONTROL.search(word) else [word]
+        if word.isascii() and word.isalpha():
+            return [word.lower()]
+        if not _settled(word) or _CONTROL.search(word):
+            return [word]
+        return self._pre.findall(word.lower()) or [word]
 
 
 _encoders: dict[tuple[type, str], Encoder] = {}
