@@ -29,6 +29,8 @@ from pairwell.llm import linear
 from pairwell.llm.common import ddl_schema, fresh_name, read_table, record_batch, text_batches
 
 SAMPLE = 6000
+#: Labellers are made to call good text junk at most this often.
+MOST_FALSE = 0.01
 #: The quality filter keeps documents with at least this score.
 KEEP_AT = 0.5
 #: Frequent function words of English, French, German and Spanish.
@@ -108,13 +110,17 @@ def votes_of(codes: np.ndarray) -> np.ndarray:
     return np.stack([codes // 3 ** (k - 1 - j) % 3 - 1 for j in range(k)], axis=1)
 
 
-def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
+def expectation_maximisation(
+    votes: np.ndarray, counts: np.ndarray, rounds: int = 200, most_false: float = 1.0
+) -> tuple[np.ndarray, np.ndarray, float]:
     """Posterior of good for each pattern, P(votes junk | class, votes) by [class, labeller], and the share of good.
 
     Votes are independent given the class; having no opinion says nothing of it.
     Classes are junk and good. At the start a labeller sees some kinds of junk
     and hardly ever calls good text junk, which tells the classes apart; one
-    pseudo-document keeps the estimates inside (0, 1).
+    pseudo-document keeps the estimates inside (0, 1). most_false bounds how often
+    a labeller may call good text junk, so that a small kind of junk that several
+    labellers see is not taken for a kind of good text.
     """
     junk, fine = (votes == -1).astype(float), (votes == 1).astype(float)
     prob = np.repeat([[0.4], [0.02]], votes.shape[1], axis=1)
@@ -125,6 +131,7 @@ def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int
         before, posterior = posterior, 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
         for c, weight in enumerate((counts * (1 - posterior), counts * posterior)):
             prob[c] = (weight @ junk + 0.5) / (weight @ (junk + fine) + 1)
+        prob[1] = np.minimum(prob[1], most_false)
         good = float((counts @ posterior + 1) / (counts.sum() + 2))
         if np.abs(posterior - before).max() < 1e-9:
             break
@@ -183,7 +190,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mo
     codes, counts = pattern_counts(docs, text_col)
     if not len(codes):
         return Model(np.zeros((linear.BUCKETS + 1, 2), np.float32), 1.0)
-    label = dict(zip(codes.tolist(), expectation_maximisation(votes_of(codes), counts)[0].tolist()))
+    label = dict(zip(codes.tolist(), expectation_maximisation(votes_of(codes), counts, most_false=MOST_FALSE)[0].tolist()))
     out = ddl_schema("model binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
