@@ -194,7 +194,7 @@ def links(nodes: DataFrame) -> DataFrame:
     dense = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > DENSE).select("key"), "dense-keys")
     if dense.isEmpty():
         return _links(keyed, 5).distinct()
-    again = _keyed(keyed.join(F.broadcast(dense), "key", "left_semi").select("fp").distinct(), 7)
+    again = _keyed(keyed.join(dense, "key", "left_semi").select("fp").distinct(), 7)
     return _links(keyed.join(dense, "key", "left_anti"), 5).union(_links(again, 7)).distinct()
 
 
