@@ -20,6 +20,16 @@ Defined cases: a null or blank text has fingerprint zero; fewer words than a
 shingle give one shingle; rows without an id take part and get the smallest id
 of their component, null if it has none; repeated rows stay; an empty table
 gives no rows; extra columns are not read.
+
+The pipeline's stage (`keep_one`) has another task: every pair of texts whose
+sets of five-word shingles have a Jaccard similarity of SIMILAR or more. Bits
+of a fingerprint cannot promise that, so its links are only a start there. Two
+sets that similar share one of the first shingles (any fixed order, rare ones
+first) of each, as many as the larger may lack and one more; all members of
+such a shingle are linked to its first one, the links are confirmed on the
+whole sets, and then all pairs that are still in different components are
+compared as well. No pair is left out, and a large group costs a star, not all
+its pairs.
 """
 
 from __future__ import annotations
@@ -32,6 +42,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pairwell.llm.common import ddl_schema, fresh_name, materialize, read_table, record_batch, text_batches
 from pairwell.llm.components import connected_components
@@ -39,6 +50,10 @@ from pairwell.llm.components import connected_components
 WORDS, BITS, SEED = 4, 4, 42
 #: Words of a shingle where no contract fixes them.
 STAGE_WORDS = 5
+#: Least Jaccard similarity of near-copies in the pipeline's stage, as a fraction.
+SIMILAR = (4, 5)
+#: Texts counted, and most shingles kept, to tell frequent shingles; both bear on speed alone.
+ORDER_SAMPLE, ORDER_MOST = 20_000, 1 << 16
 SEGMENTS, SEGMENT_BITS = 8, 8
 DENSE = 20_000
 
@@ -212,13 +227,133 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(of_class, "fp").select("doc_id", "fp", "component_id", "label")
 
 
+def shingle_set(text: str | None, words: int = STAGE_WORDS) -> np.ndarray:
+    return np.unique(shingle_hashes(text, words))
+
+
+def prefix(shingles: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, frequent ones (sorted, in `often`) last: enough that a similar set has one of its own first ones there."""
+    num, den = SIMILAR
+    few = np.isin(shingles, often, assume_unique=True)
+    ordered = np.concatenate([shingles[~few], shingles[few]])
+    n = len(ordered)
+    return ordered[: n - -(-num * n // den) + 1]
+
+
+def _rows_to_shingles(rows: DataFrame, words: int) -> DataFrame:
+    """id and the set of shingles of each text, as longs."""
+    out = ddl_schema("id long, shingles array<long>")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_batches(batches, "text"):
+            sets = [shingle_set(t, words).view(np.int64) for t in batch.column("text").to_pylist()]
+            yield record_batch([batch.column("id"), sets], out)
+
+    return rows.select("id", "text").mapInArrow(run, "id long, shingles array<long>")
+
+
+def _frequent(rows: DataFrame, words: int) -> np.ndarray:
+    """Shingles that many of some ORDER_SAMPLE texts have."""
+    n = max(1, rows.count())
+    span = 1 << 30
+    some = rows.filter(F.pmod(F.xxhash64("id", F.lit("shingle order")), F.lit(span)) < min(span, span * ORDER_SAMPLE // n))
+    counts = _rows_to_shingles(some, words).select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"))
+    found = counts.filter("n > 2").orderBy(F.desc("n"), "s").limit(ORDER_MOST).collect()
+    return np.sort(np.array([r.s for r in found], np.int64).view(np.uint64))
+
+
+def _profiles(rows: DataFrame, words: int) -> DataFrame:
+    """id, doc_id, the fingerprint, the digest and size of the set, and its first shingles."""
+    ddl = "id long, doc_id long, fp long, digest binary, n int, first array<long>"
+    out, often = ddl_schema(ddl), _frequent(rows, words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_batches(batches, "text"):
+            fps, digests, sizes, firsts = [], [], [], []
+            for text in batch.column("text").to_pylist():
+                hashes = shingle_hashes(text, words)
+                own = np.unique(hashes)
+                fps.append(simhash(hashes))
+                digests.append(xxhash.xxh3_128_digest(own.tobytes()))
+                sizes.append(len(own))
+                firsts.append(prefix(own, often).view(np.int64) if len(own) else [])
+            fp = np.array(fps, np.uint64).view(np.int64)
+            yield record_batch([batch.column("id"), batch.column("doc_id"), fp, digests, sizes, firsts], out)
+
+    return rows.mapInArrow(run, ddl)
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) of ids whose whole sets are similar."""
+    num, den = SIMILAR
+    u, v = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "uv")
+    both = F.size(F.array_intersect("of_u", "of_v"))
+    enough = (num + den) * both >= num * (F.size("of_u") + F.size("of_v"))
+    return pairs.join(u, "u").join(v, "v").filter(enough).select("u", "v")
+
+
+def _may_be_similar(a: str, b: str) -> Column:
+    """False only where the sizes, or what is left of both sets from the shared shingle on, rule it out."""
+    num, den = SIMILAR
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    most = F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos"))
+    return (den * F.least(n, m) >= num * F.greatest(n, m)) & ((num + den) * most >= num * (n + m))
+
+
+def similar_groups(docs: DataFrame, words: int = STAGE_WORDS) -> DataFrame:
+    """doc_id and component_id, the smallest id of the component of texts at least SIMILAR, of every row."""
+    # the ids of rows are written down: a later scan might number them otherwise
+    rows = materialize(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).withColumn("id", F.monotonically_increasing_id()),
+        "similar-rows",
+    )
+    profiles = materialize(_profiles(rows, words), "profiles")
+    classes = materialize(profiles.groupBy("digest").agg(F.min("id").alias("id"), F.min("doc_id").alias("first_id")), "set-classes")
+    nodes = profiles.join(classes.select("id"), "id", "left_semi")
+
+    postings = nodes.select("id", "n", F.posexplode("first").alias("pos", "key"))
+    of_key = Window.partitionBy("key")
+    shared = postings.withColumn("head", F.min("id").over(of_key)).withColumn("last", F.max("id").over(of_key))
+    shared = materialize(shared.filter("head < last").drop("last"), "shared-shingles")
+
+    firsts = nodes.groupBy("fp").agg(F.min("id").alias("of_fp"))
+    near = links(firsts.select("fp"))
+    for c in "uv":
+        near = near.join(firsts.select(F.col("fp").alias(c), F.col("of_fp").alias(f"{c}_id")), c)
+    stars = shared.filter("id <> head").select(F.col("id").alias("u"), F.col("head").alias("v"))
+    same_fp = nodes.join(firsts, "fp").filter("id <> of_fp").select("id", "of_fp")
+    tried = materialize(stars.union(near.select("u_id", "v_id")).union(same_fp).distinct(), "star-pairs")
+
+    wanted = shared.select("id").union(tried.select("u")).union(tried.select("v")).distinct()
+    sets = materialize(_rows_to_shingles(rows.join(wanted, "id", "left_semi"), words), "shingle-sets")
+    labels = materialize(connected_components(_confirmed(tried, sets)), "star-labels")
+
+    labelled = shared.join(labels, shared["id"] == labels["node"], "left").withColumn("label", F.coalesce("label", "id"))
+    labelled = labelled.withColumn("low", F.min("label").over(of_key)).withColumn("high", F.max("label").over(of_key))
+    labelled = materialize(labelled.filter("low < high").select("key", "id", "n", "pos", "label"), "open-shingles")
+    a, b = labelled.alias("a"), labelled.alias("b")
+    apart = a.join(b, (F.col("a.key") == F.col("b.key")) & F.expr("a.label < b.label") & _may_be_similar("a", "b"))
+    open_pairs = apart.select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
+    found = _confirmed(open_pairs, sets)
+    for c in "uv":
+        of = labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+        found = found.join(of, c, "left").withColumn(f"{c}_label", F.coalesce(f"{c}_label", c))
+    joined = connected_components(found.select(F.col("u_label").alias("u"), F.col("v_label").alias("v")))
+    outer = joined.select(F.col("node").alias("label"), F.col("label").alias("outer"))
+
+    merged = classes.join(labels, classes["id"] == labels["node"], "left").withColumn("label", F.coalesce("label", "id"))
+    merged = merged.join(outer, "label", "left").select("digest", "first_id", F.coalesce("outer", "label").alias("label"))
+    least = merged.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    return profiles.select("doc_id", "digest").join(merged.select("digest", "label"), "digest").join(least, "label").select("doc_id", "component_id")
+
+
 def keep_one(docs: DataFrame, words: int = STAGE_WORDS) -> DataFrame:
-    """One document of each component stays, the one with the smallest id; all columns stay.
+    """One document of each component of near-copies stays, the one with the smallest id; all columns stay.
 
     Of repeated rows of that id one stays. Rows without an id stay: nothing names them.
     """
     keeper = fresh_name(docs, "keeper_id")
-    keepers = near_duplicates(docs, words=words).select(F.col("component_id").alias(keeper)).distinct()
+    keepers = similar_groups(docs, words).select(F.col("component_id").alias(keeper)).distinct()
     kept = docs.join(keepers, docs["doc_id"] == F.col(keeper), "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
 
