@@ -4,7 +4,8 @@ The tokenizers library encodes a text as the concatenation of its pre-tokens.
 Here each worker keeps the ids of the pre-tokens it has met, so the library is
 called once per new one, in batches. The cut between pre-tokens is made at the
 same places as the tokenizer's own pattern makes them; the ids equal those of
-a whole-text call (tests compare them).
+a whole-text call (tests compare them). A text that holds an added token, such
+as <|endoftext|>, goes through the library whole.
 
 Two levels: runs of non-space characters, and below them single pre-tokens.
 Both caches are bounded: a full one is cut back to what the last batch used,
@@ -55,13 +56,21 @@ def byte_signs(text: str) -> str:
 
 
 class Encoder:
-    """ids of texts as little-endian unsigned 32-bit bytes."""
+    """ids of texts as little-endian unsigned 32-bit bytes.
 
-    def __init__(self, path: str) -> None:
+    With added_tokens, texts are read as the library reads them by default:
+    an added token in a text has its own id. Without, it is plain characters.
+    """
+
+    def __init__(self, path: str, added_tokens: bool = False) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        added = self.tokenizer.get_added_tokens_decoder().values() if added_tokens else []
+        if any(t.normalized for t in added):
+            raise ValueError("an added token is sought in normal forms of the text")
+        self.added = [t.content for t in added]
         self.tokenizer.encode_special_tokens = True
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -82,7 +91,20 @@ class Encoder:
             if collecting:
                 gc.enable()
 
+    def _encode_whole(self, texts: list[str]) -> list[bytes]:
+        self.tokenizer.encode_special_tokens = False
+        try:
+            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        finally:
+            self.tokenizer.encode_special_tokens = True
+
     def _encode_batch(self, texts: Iterable[str]) -> list[bytes]:
+        texts = list(texts)
+        marked = [i for i, t in enumerate(texts) if t and any(a in t for a in self.added)]
+        if marked:
+            whole = self._encode_whole([texts[i] for i in marked])
+            for i in marked:
+                texts[i] = ""
         texts = [self.split(t) if t else [] for t in texts]
         met = set(chain.from_iterable(texts))
         fresh = {w: self.pretokens(w) for w in met if w not in self.words}
@@ -107,6 +129,8 @@ class Encoder:
         coded = [b"".join(map(word, words)) for words in texts]
         if len(self.words) > CACHE_WORDS:
             self.words = {w: self.words[w] for w in met}
+        for k, i in enumerate(marked):
+            coded[i] = whole[k]
         return coded
 
 
@@ -148,10 +172,10 @@ class WordEncoder(Encoder):
 _encoders: dict[tuple[type, str], Encoder] = {}
 
 
-def encoder(kind: Callable[[str], Encoder], path: str) -> Encoder:
-    """One encoder per worker process and file."""
+def encoder(kind: Callable[..., Encoder], path: str) -> Encoder:
+    """One encoder per worker process and file; it heeds added tokens."""
     if (kind, path) not in _encoders:
-        _encoders[kind, path] = kind(path)
+        _encoders[kind, path] = kind(path, added_tokens=True)
     return _encoders[kind, path]
 
 
