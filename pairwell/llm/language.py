@@ -3,7 +3,10 @@
 Document frequencies are counted over all training rows in one pass that emits
 at most BUCKETS sums a task. The classifier is fitted on a bounded sample:
 SAMPLE_PER_LANGUAGE training rows of each language, chosen by a hash of their
-id. Every document is then scored whole. Training rows are those with a
+id. Every label with a training row is learnt; a label with ten sampled rows or
+more lends every fifth to the calibration, and the weights are then fitted on
+all. A label costs 4 * BUCKETS bytes in the model and 16 * BUCKETS where it is
+fitted. Every document is then scored whole. Training rows are those with a
 language and an id whose crc32 modulo 4 is not 2.
 
 Defined cases: a null text or one without a letter is `und` with score 0; a
@@ -28,8 +31,6 @@ from pairwell.llm import linear
 from pairwell.llm.common import ddl_schema, fresh_name, read_table, record_batch, text_batches
 
 SAMPLE_PER_LANGUAGE = 1000
-#: Most languages that a model learns: those with the most training rows.
-LANGUAGES = 200
 UNKNOWN = "und"
 #: The language filter keeps documents whose predicted language has at least this probability.
 KEEP_AT = 0.5
@@ -95,11 +96,15 @@ def tf_idf(codes: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return index, value / np.linalg.norm(value)
 
 
-def _sample(rows: DataFrame, id_col: str, lang_col: str, sizes: dict[str, int]) -> DataFrame:
-    """About SAMPLE_PER_LANGUAGE rows of each language, by a hash of the id."""
+def _sample(rows: DataFrame, id_col: str, text_col: str, lang_col: str, sizes: dict[str, int]) -> DataFrame:
+    """About SAMPLE_PER_LANGUAGE rows of each language, by a hash of the id: text, lang, order and id."""
     span = 1 << 30
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(span, span * SAMPLE_PER_LANGUAGE // n))])
-    return rows.filter(F.pmod(F.xxhash64(id_col, F.lit("language sample")), F.lit(span)) < F.element_at(share, F.col(lang_col)))
+    shares = [(lang, min(span, span * SAMPLE_PER_LANGUAGE // n)) for lang, n in sizes.items()]
+    share = rows.sparkSession.createDataFrame(shares, "lang string, share long")  # a row per language, as the model has
+    draw = F.pmod(F.xxhash64(id_col, F.lit("language sample")), F.lit(span))
+    columns = [F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("order"), F.col(id_col).alias("id")]
+    chosen = rows.select(*columns, draw.alias("draw")).join(F.broadcast(share), "lang").filter("draw < share")
+    return chosen.select("text", "lang", "order", "id")
 
 
 class Model:
@@ -120,7 +125,7 @@ class Model:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model from the training rows of docs."""
     rows = training_rows(docs, id_col, lang_col)
-    counts = rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES).collect()
+    counts = rows.groupBy(lang_col).count().collect()  # a row per language
     sizes = {r[0]: r[1] for r in sorted(counts)}
     languages = list(sizes)
     if not languages:
@@ -130,25 +135,25 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     out = ddl_schema("model binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        examples = []
+        examples, labels, targets = [], [], np.eye(len(number))
         for batch in text_batches(batches, "text"):
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
                 codes = normal_codes(text)
                 if codes is not None:
                     index, value = tf_idf(codes, idf)
-                    examples.append((index.astype(np.int32), value.astype(np.float32), np.eye(len(number))[number[lang]]))
-        yield record_batch([[pickle.dumps(linear.fit(examples, len(number)))]], out)
+                    examples.append((index.astype(np.int32), value.astype(np.float32), targets[number[lang]]))
+                    labels.append(number[lang])
+        fitted = linear.fit(examples, len(number), held_rows=linear.calibration_rows(labels))
+        yield record_batch([[pickle.dumps(fitted)]], out)
 
-    chosen = _sample(rows, id_col, lang_col, sizes).select(
-        F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("order"), F.col(id_col).alias("id")
-    )
+    chosen = _sample(rows, id_col, text_col, lang_col, sizes)
     one = chosen.repartition(1).sortWithinPartitions("order", "id", "lang", "text").select("text", "lang")
     weights, t = pickle.loads(one.mapInArrow(run, "model binary").first()[0])
     return Model(languages, idf, weights, t)
 
 
 def predictor(spark: SparkSession, model: Model):
-    """A column function from text to struct<lang, score>; the model is at most BUCKETS x LANGUAGES numbers."""
+    """A column function from text to struct<lang, score>; the model is BUCKETS numbers a language."""
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")

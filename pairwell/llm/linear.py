@@ -93,15 +93,41 @@ def temperature(logits: np.ndarray, targets: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
-def fit(examples: list[tuple[np.ndarray, np.ndarray, np.ndarray]], classes: int, epochs: int = 4) -> tuple[np.ndarray, float]:
-    """Weights and temperature from (indices, values, target) examples; every fifth one calibrates only."""
-    held = examples[::5] if len(examples) >= 10 else examples
-    taught = [x for i, x in enumerate(examples) if i % 5] if len(examples) >= 10 else examples
+def calibration_rows(labels: list[int], most: int = 20_000) -> np.ndarray:
+    """Which examples calibrate: every fifth of a label that has ten or more, `most` of all labels at most."""
+    seen, total = {}, np.bincount(labels) if labels else np.zeros(0, int)
+    each = max(1, most // max(1, np.count_nonzero(total)))
+    held = np.zeros(len(labels), bool)
+    for i, label in enumerate(labels):
+        at = seen[label] = seen.get(label, -1) + 1
+        held[i] = total[label] >= 10 and at % 5 == 0 and at // 5 < each
+    return held
+
+
+def fit(
+    examples: list[tuple[np.ndarray, np.ndarray, np.ndarray]], classes: int, epochs: int = 4, held_rows: np.ndarray | None = None
+) -> tuple[np.ndarray, float]:
+    """Weights and temperature from (indices, values, target) examples.
+
+    Every fifth example calibrates only; with held_rows, those that it names calibrate and the weights are then learnt from all.
+    """
+    if held_rows is None:
+        held = examples[::5] if len(examples) >= 10 else examples
+        taught = [x for i, x in enumerate(examples) if i % 5] if len(examples) >= 10 else examples
+    else:
+        held = [x for x, h in zip(examples, held_rows) if h] or examples
+        taught = [x for x, h in zip(examples, held_rows) if not h]
+    w = _learn(taught, classes, epochs)
+    logits = np.array([np.append(v, 1.0) @ w[np.append(i, len(w) - 1)] for i, v, _ in held])
+    t = temperature(logits, np.array([target for _, _, target in held])) if len(held) else 1.0
+    if len(taught) < len(examples) and held_rows is not None:
+        w = _learn(examples, classes, epochs)
+    return w.astype(np.float32), t
+
+
+def _learn(taught: list[tuple[np.ndarray, np.ndarray, np.ndarray]], classes: int, epochs: int) -> np.ndarray:
     model, order = Ftrl(classes), np.random.default_rng(0)
     for _ in range(epochs):
         for i in order.permutation(len(taught)).tolist():
             model.learn(*taught[i])
-    w = model.weights(slice(None))
-    logits = np.array([np.append(v, 1.0) @ w[np.append(i, model.features)] for i, v, _ in held])
-    t = temperature(logits, np.array([target for _, _, target in held])) if len(held) else 1.0
-    return w.astype(np.float32), t
+    return model.weights(slice(None))
