@@ -2,12 +2,13 @@
 
 The vocabulary and its merge scores come from a public model file. Pairs wait
 on an agenda, best score first; when a pair's turn comes, it is skipped if the
-keyed hash of (variant, position, merged piece) falls below the dropout rate,
+keyed hash of (occurrence, place in the word, merged piece) falls below the rate,
 else it is merged if both sides still stand. Rate 0 gives the library's own
 ids. No piece spans a border before a space, so words are segmented one by
-one; each occurrence of a word takes one of VARIANTS variants, chosen by a
-hash of the seed, the document id and the position, and a worker remembers the
-segmentations it has made.
+one. Each occurrence of a word draws its own merges: the hash is keyed by the
+seed, the document id and the position. A worker remembers only what no draw
+bears on: a word's plain ids and the merges that lead to them. If none of those
+is skipped the plain ids stand, else the occurrence is segmented anew.
 
 Characters without a piece, and the space sign itself where the text has it,
 become byte pieces, so every text decodes to itself.
@@ -34,9 +35,9 @@ from pyspark.sql import functions as F
 from pairwell.llm.common import ddl_schema, read_table, record_batch, text_batches
 from pairwell.llm.tokens import tokenizer_path
 
-DROPOUT, SEED, VARIANTS = 0.1, 7, 4
-#: Remembered segmentations of each variant.
-CACHE = 150_000
+DROPOUT, SEED = 0.1, 7
+#: Remembered words, and the characters of the longest one remembered.
+CACHE, CACHE_CHARS = 150_000, 64
 #: Fixed by the format: the sign that stands for a space.
 SPACE = "▁"
 _CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -64,13 +65,13 @@ class Pieces:
                 self.raw.append(piece.replace(SPACE, " ").encode())
         if any(SPACE in piece.lstrip(SPACE) for piece in self.rank):
             raise ValueError("a piece spans words")
-        self.caches: dict[tuple, list[dict[str, bytes]]] = {}
+        self.plain: dict[str, tuple[bytes, list[bytes]]] = {}
 
     def bytes_of(self, text: str) -> list[int]:
         return [self.byte_id[b] for b in text.encode("utf-8", "surrogatepass")]
 
-    def segment(self, chunk: str, salt: int, skip_below: int) -> list[int]:
-        """ids of one word; salt keys the hash, skip_below is the dropout rate times 2**64."""
+    def segment(self, chunk: str, salt: int, skip_below: int, done: list[bytes] | None = None) -> list[int]:
+        """ids of one word; salt keys the hash, skip_below is the dropout rate times 2**64; done takes the hashed names of the merges made."""
         whole = self.rank.get(chunk)
         parts: list[str | None] = list(chunk)
         n = len(parts)
@@ -96,6 +97,8 @@ class Pieces:
                 continue
             if skip_below and xxhash.xxh64_intdigest(b"%d %d" % (i, self.rank[merged][1]), salt) < skip_below:
                 continue
+            if done is not None:
+                done.append(b"%d %d" % (i, self.rank[merged][1]))
             parts[i], parts[j] = merged, None
             right[i] = right[j]
             if right[j] < n:
@@ -127,25 +130,32 @@ class Pieces:
             if k:
                 chunks.append(None)  # a space sign of the text itself
             chunks += _CHUNK.findall((SPACE if k == 0 else "") + segment.replace(" ", SPACE))
-        caches = self.caches.setdefault((dropout, seed), [{} for _ in range(VARIANTS)])
         skip_below = int(dropout * 2**64)
         base = xxhash.xxh64_intdigest(b"%d" % key, seed)
         with np.errstate(over="ignore"):
-            mixed = (np.arange(len(chunks), dtype=np.uint64) + np.uint64(base)) * np.uint64(0x9E3779B97F4A7C15)
-        picks = (mixed >> np.uint64(61)).tolist() if dropout else [0] * len(chunks)
+            salts = ((np.arange(len(chunks), dtype=np.uint64) + np.uint64(base)) * np.uint64(0x9E3779B97F4A7C15)).tolist()
         literal, out = array("I", self.bytes_of(SPACE)).tobytes(), []
-        for chunk, pick in zip(chunks, picks):
+        draw, known = xxhash.xxh64_intdigest, self.plain
+        for chunk, salt in zip(chunks, salts):
             if chunk is None:
                 out.append(literal)
                 continue
-            cache = caches[pick % VARIANTS]
-            ids = cache.get(chunk)
-            if ids is None:
-                salt = xxhash.xxh64_intdigest(chunk.encode("utf-8", "surrogatepass"), seed * VARIANTS + pick % VARIANTS)
-                ids = array("I", self.segment(chunk, salt, skip_below)).tobytes()
-                if len(cache) >= CACHE:
-                    cache.clear()
-                cache[chunk] = ids
+            if len(chunk) > CACHE_CHARS:
+                out.append(array("I", self.segment(chunk, salt, skip_below)).tobytes())
+                continue
+            found = known.get(chunk)
+            if found is None:
+                merges: list[bytes] = []
+                found = array("I", self.segment(chunk, 0, 0, merges)).tobytes(), merges
+                if len(known) >= CACHE:
+                    known.clear()
+                known[chunk] = found
+            ids, merges = found
+            if skip_below:
+                for merge in merges:
+                    if draw(merge, salt) < skip_below:
+                        ids = array("I", self.segment(chunk, salt, skip_below)).tobytes()
+                        break
             out.append(ids)
         return b"".join(out)
 
