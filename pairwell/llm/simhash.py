@@ -25,11 +25,13 @@ The pipeline's stage (`keep_one`) has another task: every pair of texts whose
 sets of five-word shingles have a Jaccard similarity of SIMILAR or more. Bits
 of a fingerprint cannot promise that, so its links are only a start there. Two
 sets that similar share one of the first shingles (any fixed order, rare ones
-first) of each, as many as the larger may lack and one more; all members of
-such a shingle are linked to its first one, the links are confirmed on the
-whole sets, and then all pairs that are still in different components are
-compared as well. No pair is left out, and a large group costs a star, not all
-its pairs.
+first) of each, as many as the larger may lack and one more. Every member of
+such a shingle is linked to one member of about its size, the one that shares
+most with others; then all pairs that are still in different components are
+listed. Sizes, places of the shared shingle and parity sketches, whose
+difference never exceeds that of the sets, rule out most pairs; the others are
+compared as whole sets, for which their texts travel as zstd frames. No pair is
+left out, and a large group costs a star, not all its pairs.
 """
 
 from __future__ import annotations
@@ -40,9 +42,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pairwell.llm.common import ddl_schema, fresh_name, materialize, read_table, record_batch, text_batches
 from pairwell.llm.components import connected_components
@@ -54,6 +56,8 @@ STAGE_WORDS = 5
 SIMILAR = (4, 5)
 #: Texts counted, and most shingles kept, to tell frequent shingles; both bear on speed alone.
 ORDER_SAMPLE, ORDER_MOST = 20_000, 1 << 16
+#: Buckets of a set's sketch, the ratio of sizes in a band (similar sets are in one band or in two next to each other), and shingles a worker remembers.
+SKETCH_BITS, BAND, REMEMBERED = 1024, 1.26, 4_000_000
 SEGMENTS, SEGMENT_BITS = 8, 8
 DENSE = 20_000
 
@@ -240,36 +244,41 @@ def prefix(shingles: np.ndarray, often: np.ndarray) -> np.ndarray:
     return ordered[: n - -(-num * n // den) + 1]
 
 
-def _rows_to_shingles(rows: DataFrame, words: int) -> DataFrame:
-    """id and the set of shingles of each text, as longs."""
-    out = ddl_schema("id long, shingles array<long>")
+def parity_sketch(shingles: np.ndarray) -> np.ndarray:
+    """Whether each of SKETCH_BITS buckets holds an odd number of the shingles, as longs.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_batches(batches, "text"):
-            sets = [shingle_set(t, words).view(np.int64) for t in batch.column("text").to_pylist()]
-            yield record_batch([batch.column("id"), sets], out)
-
-    return rows.select("id", "text").mapInArrow(run, "id long, shingles array<long>")
+    Every bucket in which two sketches differ holds a shingle that one set has
+    alone, so their difference never exceeds that of the sets.
+    """
+    odd = np.bincount((shingles >> np.uint64(64 - SKETCH_BITS.bit_length() + 1)).astype(np.intp), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
-def _frequent(rows: DataFrame, words: int) -> np.ndarray:
+def _frequent(docs: DataFrame, words: int) -> np.ndarray:
     """Shingles that many of some ORDER_SAMPLE texts have."""
-    n = max(1, rows.count())
-    span = 1 << 30
-    some = rows.filter(F.pmod(F.xxhash64("id", F.lit("shingle order")), F.lit(span)) < min(span, span * ORDER_SAMPLE // n))
-    counts = _rows_to_shingles(some, words).select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"))
+    span, n = 1 << 30, max(1, docs.count())
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("shingle order")), F.lit(span))
+    some = docs.filter(draw < min(span, span * ORDER_SAMPLE // n))
+    out = ddl_schema("s long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_batches(batches, "text"):
+            for text in batch.column("text").to_pylist():
+                yield record_batch([shingle_set(text, words).view(np.int64)], out)
+
+    counts = some.select("text").mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("n"))
     found = counts.filter("n > 2").orderBy(F.desc("n"), "s").limit(ORDER_MOST).collect()
     return np.sort(np.array([r.s for r in found], np.int64).view(np.uint64))
 
 
 def _profiles(rows: DataFrame, words: int) -> DataFrame:
-    """id, doc_id, the fingerprint, the digest and size of the set, and its first shingles."""
-    ddl = "id long, doc_id long, fp long, digest binary, n int, first array<long>"
+    """id, doc_id, a hash of the text, the fingerprint, and of the set: digest, size, first shingles and sketch."""
+    ddl = "id long, doc_id long, text_hash long, fp long, digest binary, n int, first array<long>, sketch array<long>"
     out, often = ddl_schema(ddl), _frequent(rows, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, "text"):
-            fps, digests, sizes, firsts = [], [], [], []
+            fps, digests, sizes, firsts, sketches = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 hashes = shingle_hashes(text, words)
                 own = np.unique(hashes)
@@ -277,64 +286,139 @@ def _profiles(rows: DataFrame, words: int) -> DataFrame:
                 digests.append(xxhash.xxh3_128_digest(own.tobytes()))
                 sizes.append(len(own))
                 firsts.append(prefix(own, often).view(np.int64) if len(own) else [])
+                sketches.append(parity_sketch(own))
             fp = np.array(fps, np.uint64).view(np.int64)
-            yield record_batch([batch.column("id"), batch.column("doc_id"), fp, digests, sizes, firsts], out)
+            known = [batch.column(c) for c in ("id", "doc_id", "text_hash")]
+            yield record_batch([*known, fp, digests, sizes, firsts, sketches], out)
 
-    return rows.mapInArrow(run, ddl)
+    numbered = rows.select(F.monotonically_increasing_id().alias("id"), "doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return numbered.mapInArrow(run, ddl)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) of ids whose whole sets are similar."""
+def _packed(rows: DataFrame) -> DataFrame:
+    """id and the text as a zstd frame."""
+    out = ddl_schema("id long, frame binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in text_batches(batches, "text"):
+            frames = [pack((t or "").encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
+            yield record_batch([batch.column("id"), frames], out)
+
+    return rows.select("id", "text").mapInArrow(run, "id long, frame binary")
+
+
+def _similar(pairs: DataFrame, frames: DataFrame, words: int) -> DataFrame:
+    """The pairs (u, v) of ids whose whole sets are similar; sets of recent texts are remembered, REMEMBERED shingles of them."""
     num, den = SIMILAR
-    u, v = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "uv")
-    both = F.size(F.array_intersect("of_u", "of_v"))
-    enough = (num + den) * both >= num * (F.size("of_u") + F.size("of_v"))
-    return pairs.join(u, "u").join(v, "v").filter(enough).select("u", "v")
+    out = ddl_schema("u long, v long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        known: dict[int, np.ndarray] = {}
+        held = 0
+        for batch in batches:
+            found = []
+            columns = [batch.column(c) for c in ("u", "v", "of_u", "of_v")]
+            for row in zip(*columns):
+                sets = []
+                for i, frame in ((row[0].as_py(), row[2]), (row[1].as_py(), row[3])):
+                    own = known.get(i)
+                    if own is None:
+                        own = shingle_set(unpack(frame.as_py()).decode("utf-8", "surrogatepass"), words)
+                        if held > REMEMBERED:
+                            known.clear()
+                            held = 0
+                        known[i] = own
+                        held += len(own)
+                    sets.append(own)
+                both = len(np.intersect1d(*sets, assume_unique=True))
+                if (num + den) * both >= num * (len(sets[0]) + len(sets[1])):
+                    found.append((row[0].as_py(), row[1].as_py()))
+            yield record_batch(list(zip(*found)) or [[], []], out)
+
+    u, v = (frames.select(F.col("id").alias(c), F.col("frame").alias(f"of_{c}")) for c in "uv")
+    return pairs.join(u, "u").join(v, "v").select("u", "v", "of_u", "of_v").mapInArrow(run, "u long, v long")
+
+
+def _sizes_allow(n: Column, m: Column) -> Column:
+    num, den = SIMILAR
+    return den * F.least(n, m) >= num * F.greatest(n, m)
+
+
+def _rest_allows(n: Column, pos_n: Column, m: Column, pos_m: Column) -> Column:
+    """False only where what is left of both sets from the first shared shingle on rules it out."""
+    num, den = SIMILAR
+    return (num + den) * F.least(n - pos_n, m - pos_m) >= num * (n + m)
 
 
-def _may_be_similar(a: str, b: str) -> Column:
-    """False only where the sizes, or what is left of both sets from the shared shingle on, rule it out."""
+def _sketches_allow(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs whose sizes and sketches leave room for a similarity of SIMILAR: those differ in at most a share of both sizes."""
     num, den = SIMILAR
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    most = F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos"))
-    return (den * F.least(n, m) >= num * F.greatest(n, m)) & ((num + den) * most >= num * (n + m))
+    u, v = (nodes.select(F.col("id").alias(c), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_s")) for c in "uv")
+    longs = range(SKETCH_BITS // 64)
+    differ = sum((F.bit_count(F.col("u_s")[i].bitwiseXOR(F.col("v_s")[i])) for i in longs), F.lit(0))
+    allowed = (num + den) * differ <= (den - num) * (F.col("u_n") + F.col("v_n"))
+    return pairs.join(u, "u").join(v, "v").filter(_sizes_allow(F.col("u_n"), F.col("v_n")) & allowed).select("u", "v")
+
+
+def _undirected(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def _stars(shared: DataFrame) -> DataFrame:
+    """Pairs that link each member of a shared shingle to the member of about its size that shares most with others."""
+    weight = shared.groupBy("id").agg(F.sum(F.col("of_key") - 1).alias("weight"))
+    best = F.max(F.struct("weight", F.negative("id").alias("least"), "n", "pos")).alias("head")
+    heads = shared.join(weight, "id").groupBy("key", "band").agg(best)
+    near = shared.select("key", "id", "n", "pos", F.explode(F.array("band", F.col("band") - 1)).alias("band"))
+    n, pos, m, pos_m = F.col("n"), F.col("pos"), F.col("head.n"), F.col("head.pos")
+    linked = near.join(heads, ["key", "band"]).filter(_sizes_allow(n, m) & _rest_allows(n, pos, m, pos_m))
+    return linked.select(F.col("id").alias("u"), (-F.col("head.least")).alias("v")).filter("u <> v")
+
+
+def _open_pairs(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """All pairs that share a first shingle and have different labels, but for those that sizes and places rule out."""
+    labelled = shared.join(labels, shared["id"] == labels["node"], "left").withColumn("label", F.coalesce("label", "id"))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    rows = materialize(labelled.join(mixed.select("key"), "key").select("key", "band", "id", "n", "pos", "label"), "open-shingles")
+    one = rows.select("key", *(F.col(c).alias(f"a_{c}") for c in ("band", "id", "n", "pos", "label")))
+    one = one.withColumn("band", F.explode(F.array("a_band", F.col("a_band") + 1)))
+    apart = (F.col("a_label") != F.col("label")) & ((F.col("a_band") < F.col("band")) | (F.col("a_id") < F.col("id")))
+    fits = _sizes_allow(F.col("a_n"), F.col("n")) & _rest_allows(F.col("a_n"), F.col("a_pos"), F.col("n"), F.col("pos"))
+    found = one.join(rows, ["key", "band"]).filter(apart & fits)
+    return found.select(F.col("a_id").alias("u"), F.col("id").alias("v"))
 
 
 def similar_groups(docs: DataFrame, words: int = STAGE_WORDS) -> DataFrame:
     """doc_id and component_id, the smallest id of the component of texts at least SIMILAR, of every row."""
-    # the ids of rows are written down: a later scan might number them otherwise
-    rows = materialize(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).withColumn("id", F.monotonically_increasing_id()),
-        "similar-rows",
-    )
-    profiles = materialize(_profiles(rows, words), "profiles")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    profiles = materialize(_profiles(source, words), "profiles")
     classes = materialize(profiles.groupBy("digest").agg(F.min("id").alias("id"), F.min("doc_id").alias("first_id")), "set-classes")
-    nodes = profiles.join(classes.select("id"), "id", "left_semi")
+    nodes = materialize(profiles.drop("digest").join(classes.select("id"), "id", "left_semi"), "set-nodes")
 
     postings = nodes.select("id", "n", F.posexplode("first").alias("pos", "key"))
-    of_key = Window.partitionBy("key")
-    shared = postings.withColumn("head", F.min("id").over(of_key)).withColumn("last", F.max("id").over(of_key))
-    shared = materialize(shared.filter("head < last").drop("last"), "shared-shingles")
+    keys = materialize(postings.groupBy("key").agg(F.count("*").alias("of_key")).filter("of_key > 1"), "shared-keys")
+    band = F.floor(F.log("n") / F.lit(np.log(BAND))).cast("int").alias("band")
+    shared = materialize(postings.join(keys, "key").select("key", band, "id", "n", "pos", "of_key"), "shared-shingles")
 
-    firsts = nodes.groupBy("fp").agg(F.min("id").alias("of_fp"))
+    firsts = materialize(nodes.groupBy("fp").agg(F.min("id").alias("of_fp")), "first-of-fingerprint")
     near = links(firsts.select("fp"))
     for c in "uv":
         near = near.join(firsts.select(F.col("fp").alias(c), F.col("of_fp").alias(f"{c}_id")), c)
-    stars = shared.filter("id <> head").select(F.col("id").alias("u"), F.col("head").alias("v"))
-    same_fp = nodes.join(firsts, "fp").filter("id <> of_fp").select("id", "of_fp")
-    tried = materialize(stars.union(near.select("u_id", "v_id")).union(same_fp).distinct(), "star-pairs")
+    same_fp = nodes.select("fp", "id").join(firsts, "fp").filter("id <> of_fp").select("id", "of_fp")
+    tried = _undirected(_stars(shared).union(near.select("u_id", "v_id")).union(same_fp))
+    tried = materialize(_sketches_allow(tried, nodes), "tried-pairs")
 
     wanted = shared.select("id").union(tried.select("u")).union(tried.select("v")).distinct()
-    sets = materialize(_rows_to_shingles(rows.join(wanted, "id", "left_semi"), words), "shingle-sets")
-    labels = materialize(connected_components(_confirmed(tried, sets)), "star-labels")
-
-    labelled = shared.join(labels, shared["id"] == labels["node"], "left").withColumn("label", F.coalesce("label", "id"))
-    labelled = labelled.withColumn("low", F.min("label").over(of_key)).withColumn("high", F.max("label").over(of_key))
-    labelled = materialize(labelled.filter("low < high").select("key", "id", "n", "pos", "label"), "open-shingles")
-    a, b = labelled.alias("a"), labelled.alias("b")
-    apart = a.join(b, (F.col("a.key") == F.col("b.key")) & F.expr("a.label < b.label") & _may_be_similar("a", "b"))
-    open_pairs = apart.select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
-    found = _confirmed(open_pairs, sets)
+    wanted = materialize(nodes.select("id", "doc_id", "text_hash").join(wanted, "id", "left_semi"), "wanted-texts")
+    own = source.withColumn("text_hash", F.xxhash64("text")).alias("s")
+    same_row = F.expr("s.doc_id <=> w.doc_id AND s.text_hash = w.text_hash")
+    frames = materialize(_packed(own.join(wanted.alias("w"), same_row).select("w.id", "s.text")), "text-frames")
+    labels = materialize(connected_components(_similar(tried, frames, words)), "star-labels")
+
+    apart = materialize(_sketches_allow(_open_pairs(shared, labels).distinct(), nodes), "open-pairs")
+    found = _similar(apart, frames, words)
     for c in "uv":
         of = labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
         found = found.join(of, c, "left").withColumn(f"{c}_label", F.coalesce(f"{c}_label", c))

@@ -64,3 +64,27 @@ def test_similar_sets_share_a_first_shingle():
         often = np.sort(rng.choice(common, len(common) // 3, replace=False))
         if 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b)):
             assert len(np.intersect1d(simhash.prefix(a, often), simhash.prefix(b, often)))
+
+
+def test_sketches_never_exceed_the_difference():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 5, 200, 5000):
+        a, b = (np.unique(rng.integers(0, 2**64, n, np.uint64)) for _ in range(2))
+        b = np.union1d(a[: n // 2], b[n // 2 :])
+        differ = np.bitwise_count(simhash.parity_sketch(a) ^ simhash.parity_sketch(b)).sum()
+        assert differ <= len(np.setxor1d(a, b)) and not (simhash.parity_sketch(a) ^ simhash.parity_sketch(a)).any()
+
+
+def test_a_group_of_near_copies_whose_middle_is_anywhere(make_docs):
+    rng = random.Random(13)
+    base = rng.choices([f"w{i}" for i in range(3000)], k=150)
+    rows = []
+    for i in range(60):
+        copy = list(base)
+        for at in rng.sample(range(150), 3):
+            copy[at] = f"edit{i}-{at}"
+        rows.append((i, " ".join(base if i == 41 else copy)))
+    sets = [shingles(t) for _, t in rows]
+    root = groups(list(range(60)), lambda a, b: jaccard_at_least(sets[a], sets[b]))
+    got = dict(tuple(r) for r in simhash.similar_groups(make_docs(rows)).collect())
+    assert got == {i: root[i] for i, _ in rows}
