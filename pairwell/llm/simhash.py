@@ -308,6 +308,15 @@ def _packed(rows: DataFrame) -> DataFrame:
     return rows.select("id", "text").mapInArrow(run, "id long, frame binary")
 
 
+def _frames(pairs: DataFrame, nodes: DataFrame, source: DataFrame) -> DataFrame:
+    """id and packed text of the nodes in pairs, and of no others: what is shuffled later follows the pairs."""
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    wanted = materialize(nodes.select("id", "doc_id", "text_hash").join(ids, "id", "left_semi"), "wanted-texts")
+    own = source.withColumn("text_hash", F.xxhash64("text")).alias("s")
+    same_row = F.expr("s.doc_id <=> w.doc_id AND s.text_hash = w.text_hash")
+    return materialize(_packed(own.join(wanted.alias("w"), same_row).select("w.id", "s.text")), "text-frames")
+
+
 def _similar(pairs: DataFrame, frames: DataFrame, words: int) -> DataFrame:
     """The pairs (u, v) of ids whose whole sets are similar; sets of recent texts are remembered, REMEMBERED shingles of them."""
     num, den = SIMILAR
@@ -410,15 +419,10 @@ def similar_groups(docs: DataFrame, words: int = STAGE_WORDS) -> DataFrame:
     tried = _undirected(_stars(shared).union(near.select("u_id", "v_id")).union(same_fp))
     tried = materialize(_sketches_allow(tried, nodes), "tried-pairs")
 
-    wanted = shared.select("id").union(tried.select("u")).union(tried.select("v")).distinct()
-    wanted = materialize(nodes.select("id", "doc_id", "text_hash").join(wanted, "id", "left_semi"), "wanted-texts")
-    own = source.withColumn("text_hash", F.xxhash64("text")).alias("s")
-    same_row = F.expr("s.doc_id <=> w.doc_id AND s.text_hash = w.text_hash")
-    frames = materialize(_packed(own.join(wanted.alias("w"), same_row).select("w.id", "s.text")), "text-frames")
-    labels = materialize(connected_components(_similar(tried, frames, words)), "star-labels")
+    labels = materialize(connected_components(_similar(tried, _frames(tried, nodes, source), words)), "star-labels")
 
     apart = materialize(_sketches_allow(_open_pairs(shared, labels).distinct(), nodes), "open-pairs")
-    found = _similar(apart, frames, words)
+    found = _similar(apart, _frames(apart, nodes, source), words)
     for c in "uv":
         of = labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
         found = found.join(of, c, "left").withColumn(f"{c}_label", F.coalesce(f"{c}_label", c))
