@@ -84,18 +84,21 @@ def words(text: Column) -> Column:
 
 
 def ngrams(text: Column, n: int) -> Column:
-    """Distinct word n-grams; too short a text has none. The words are bound once, as a lambda's variable."""
+    """Distinct word n-grams as 64-bit hashes of their words' hashes; too short a text has none.
+
+    The hashes are bound once, as a lambda's variable, so no n-gram is ever built as a string.
+    """
 
     def grams(w: Column) -> Column:
         at = F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1)))
-        each = F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(w, i, n), " ")))
-        return F.when(F.size(w) >= n, each).otherwise(F.array().cast("array<string>"))
+        each = F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.slice(w, i, n))))
+        return F.when(F.size(w) >= n, each).otherwise(F.array().cast("array<bigint>"))
 
-    return F.element_at(F.transform(F.array(words(text)), grams), 1)
+    return F.element_at(F.transform(F.array(F.transform(words(text), lambda w: F.xxhash64(w))), grams), 1)
 
 
 def containment(outputs: DataFrame, answers: DataFrame, n: int, output_id: str, answer_id: str, least: float) -> DataFrame:
-    """CON2 at scale: share of an answer's n-grams found in an output, as an equi-join of shingles.
+    """CON2 at scale: share of an answer's n-grams found in an output, as one equi-join of hashed shingles.
 
     Pairs without a shared n-gram have containment 0 and are not listed. Answers
     are the smaller side; a shingle that many outputs share costs a row for
@@ -103,8 +106,7 @@ def containment(outputs: DataFrame, answers: DataFrame, n: int, output_id: str,
     """
     a = answers.select(answer_id, F.explode(ngrams(F.col("text"), n)).alias("gram"))
     sizes = a.groupBy(answer_id).agg(F.count("*").alias("__size"))
-    grams = a.select("gram").distinct()
-    o = outputs.select(output_id, F.explode(ngrams(F.col("text"), n)).alias("gram")).join(grams, "gram", "left_semi")
+    o = outputs.select(output_id, F.explode(ngrams(F.col("text"), n)).alias("gram"))
     hits = o.join(a, "gram").groupBy(output_id, answer_id).agg(F.count("*").alias("__hits"))
     found = hits.join(sizes, answer_id).select(output_id, answer_id, F.round(F.col("__hits") / F.col("__size"), 6).alias("containment"))
     return found.filter(F.col("containment") >= least)

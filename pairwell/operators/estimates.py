@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,10 @@ from pyspark.sql import functions as F
 #: Most moved units whose sign patterns are enumerated in SQL: 2**14 patterns.
 EXACT_UNITS = 14
 TOLERANCE = 1e-12
+#: Bounds of the exact table: its sums, the sums before equal ones are merged, and the denominators of deltas.
+MOST_CELLS, MOST_WORK, LARGEST_DENOMINATOR = 1 << 20, 1 << 22, 1_000_000
+#: Looks of the sampled test, and the chance that any of them misjudges.
+LOOKS, FAILURE = 4, 0.001
 
 
 def unit_deltas(paired: DataFrame, unit: Sequence[str], rate: str = "rate") -> DataFrame:
@@ -64,67 +69,150 @@ def sign_flip_exact(units: DataFrame, by: Sequence[str], delta: str = "delta") -
     )
 
 
+def _steps(values: np.ndarray) -> tuple[np.ndarray, int] | None:
+    """The values as whole multiples of 1 / scale, and the scale; None if no small common denominator is there."""
+    fractions = [Fraction(v).limit_denominator(LARGEST_DENOMINATOR) for v in values.tolist()]
+    if any(abs(float(f) - v) > 1e-12 * max(1.0, abs(v)) for f, v in zip(fractions, values.tolist())):
+        return None
+    scale = math.lcm(*(f.denominator for f in fractions))
+    steps = [int(f * scale) for f in fractions]
+    return (np.array(steps, np.int64), scale) if max(map(abs, steps), default=0) < 1 << 40 else None
+
+
+def _binomial(n: int) -> np.ndarray:
+    """Chances of 0 to n heads of n fair coins."""
+    logs = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2) for k in range(n + 1)]
+    return np.exp(np.array(logs))
+
+
+class SignPatterns:
+    """How the sum under random signs falls: sums of signed deltas, sums of signs, and the chance of each two.
+
+    Shifting all deltas by t changes a pattern's sum from a to a - t * b, so one
+    table serves every shift. Equal deltas move together: a value that occurs m
+    times has m + 1 outcomes. Where the table would hold more than MOST_CELLS
+    sums, `draws` seeded patterns stand for it.
+    """
+
+    def __init__(self, values: np.ndarray, counts: np.ndarray, draws: int = 0, seed: int = 0, shifts: bool = True) -> None:
+        self.n, self.whole = int(counts.sum()), math.fsum((values * counts).tolist())
+        found = None if draws else self._table(values, counts, shifts)
+        self.exact = found is not None
+        self.sums, self.signs, self.chance = found if self.exact else self._drawn(values, counts, draws or 4096, seed)
+
+    @staticmethod
+    def _table(values: np.ndarray, counts: np.ndarray, shifts: bool) -> tuple | None:
+        lattice = _steps(values)
+        if lattice is None:
+            return None
+        steps, scale = lattice
+        sums, signs, chance, reach, width = np.zeros(1, np.int64), np.zeros(1, np.int64), np.ones(1), 0, 0
+        for step, m in zip(steps.tolist(), counts.tolist()):
+            if not (shifts or step):
+                continue
+            if len(sums) * (m + 1) > MOST_WORK:
+                return None
+            heads = 2 * np.arange(m + 1) - m
+            sums = (sums[:, None] + step * heads).ravel()
+            signs = (signs[:, None] + (heads if shifts else 0 * heads)).ravel()
+            chance = (chance[:, None] * _binomial(m)).ravel()
+            reach, width = reach + abs(step) * m, width + m * shifts
+            key, span = (sums + reach) * (2 * width + 1) + signs + width, (2 * reach + 1) * (2 * width + 1)
+            if span <= MOST_WORK:
+                chance = np.bincount(key, chance, span)
+                key = np.flatnonzero(chance)
+                chance = chance[key]
+            else:
+                key, where = np.unique(key, return_inverse=True)
+                chance = np.bincount(where, chance)
+            sums, signs = key // (2 * width + 1) - reach, key % (2 * width + 1) - width
+            if len(sums) > MOST_CELLS:
+                return None
+        return sums / scale, signs, chance
+
+    @staticmethod
+    def _drawn(values: np.ndarray, counts: np.ndarray, draws: int, seed: int) -> tuple:
+        rng = np.random.default_rng(seed)
+        sums, signs = np.zeros(draws), np.zeros(draws, np.int64)
+        for v, m in zip(values.tolist(), counts.tolist()):
+            heads = 2 * rng.binomial(m, 0.5, draws) - m
+            sums += v * heads
+            signs += heads
+        return sums, signs, np.full(draws, 1.0)
+
+    def p(self, shift: float = 0.0) -> float:
+        """The two-sided p of the deltas less the shift; of draws, (hits + 1) / (draws + 1)."""
+        extreme = np.abs(self.sums - shift * self.signs) >= abs(self.whole - shift * self.n) - TOLERANCE
+        if self.exact:
+            return float(min(1.0, self.chance[extreme].sum()))
+        return (int(extreme.sum()) + 1) / (len(self.sums) + 1)
+
+
+def _decided(p: float, draws: int, alpha: float) -> bool:
+    """Whether so many draws tell the side of alpha: Chernoff's bound with FAILURE shared out over the looks."""
+    p = min(max(p, 1e-12), 1 - 1e-12)
+    apart = p * math.log(p / alpha) + (1 - p) * math.log((1 - p) / (1 - alpha))
+    return draws * apart >= math.log(LOOKS / FAILURE)
+
+
+def sign_patterns(values: np.ndarray, counts: np.ndarray, alpha: float = 0.05, seed: int = 0, shifts: bool = True) -> SignPatterns:
+    """EST4: the exact table, or draws: 4096, and four times as many up to 2**18 until alpha is clearly passed or missed."""
+    found, draws = SignPatterns(values, counts, shifts=shifts), 4096
+    while not found.exact:
+        found = SignPatterns(values, counts, draws, seed, shifts)
+        if draws >= 4096 * 4 ** (LOOKS - 1) or _decided(found.p(), draws, alpha):
+            break
+        draws *= 4
+    return found
+
+
 def exact_p(deltas: np.ndarray, shift: float = 0.0) -> float:
-    """Two-sided sign-flip p of deltas - shift, by merging equal sums of integers on a lattice."""
-    x = deltas - shift
-    x = x[np.abs(x) > TOLERANCE]
-    if not len(x):
-        return 1.0
-    scale = next((s for s in (1, 2, 4, 5, 10, 12, 20, 60, 100, 840, 1000, 2520, 27720) if np.abs(x * s - np.round(x * s)).max() < 1e-9), None)
-    if scale is None or np.abs(x * scale).sum() > 1 << 17:
-        return math.nan
-    steps = np.abs(np.round(x * scale)).astype(np.int64)
-    total = int(steps.sum())
-    ways = np.zeros(2 * total + 1)
-    ways[total] = 1.0
-    for s in steps.tolist():
-        ways = 0.5 * (np.roll(ways, s) + np.roll(ways, -s))  # the range holds every sum, so nothing wraps
-    seen = abs(int(np.round(x * scale).sum()))
-    at = np.abs(np.arange(-total, total + 1))
-    return float(min(1.0, ways[at >= seen].sum()))
+    """Two-sided sign-flip p of deltas - shift from the table; not a number if that would be too large."""
+    found = SignPatterns(*np.unique(np.asarray(deltas, float) - shift, return_counts=True), shifts=False)
+    return found.p() if found.exact else math.nan
 
 
 def sampled_p(deltas: np.ndarray, seed: int = 0, alpha: float = 0.05, start: int = 4096, most: int = 1 << 18) -> float:
-    """EST4: (hits + 1) / (draws + 1) of seeded draws, more of them until alpha is clearly passed or missed."""
-    rng, whole, hits, draws, size = np.random.default_rng(seed), abs(deltas.sum()), 0, 0, start
+    """EST4 by draws alone."""
+    values, counts = np.unique(np.asarray(deltas, float), return_counts=True)
+    draws = start
     while True:
-        for _ in range(0, size - draws, 4096):
-            signs = rng.integers(0, 2, (4096, len(deltas)), np.int8) * 2 - 1
-            hits += int((np.abs(signs @ deltas) >= whole - TOLERANCE).sum())
-            draws += 4096
-        p = (hits + 1) / (draws + 1)
-        spread = 4 * math.sqrt(p * (1 - p) / draws)
-        if size >= most or abs(p - alpha) > spread:
+        p = SignPatterns(values, counts, draws, seed).p()
+        if draws >= most or _decided(p, draws, alpha):
             return p
-        size *= 4
+        draws *= 4
 
 
 def p_value(deltas: np.ndarray) -> float:
-    exact = exact_p(deltas)
-    return sampled_p(deltas) if math.isnan(exact) else exact
+    return sign_patterns(*np.unique(np.asarray(deltas, float), return_counts=True), shifts=False).p()
 
 
-def _p_at(deltas: np.ndarray, shift: float) -> float:
-    x = deltas - shift
-    if len(x) <= EXACT_UNITS:
-        signs = 1 - 2 * (np.arange(1 << len(x))[:, None] >> np.arange(len(x)) & 1)
-        return float((np.abs(signs @ x) >= abs(x.sum()) - TOLERANCE).mean())
-    signs = np.random.default_rng(0).integers(0, 2, (8192, len(x)), np.int8) * 2 - 1
-    return float(((np.abs(signs @ x) >= abs(x.sum()) - TOLERANCE).sum() + 1) / 8193)
+def interval(deltas: np.ndarray, confidence: float = 0.95) -> tuple[float | None, float | None, bool]:
+    return weighted_interval(*np.unique(np.asarray(deltas, float), return_counts=True), confidence)
 
 
-def interval(deltas: np.ndarray, confidence: float = 0.95) -> tuple[float | None, float | None, bool]:
-    """EST5: the shifts that the test does not reject, by bisection; unbounded for few or equal deltas."""
-    if len(deltas) < cases_needed(1 - confidence) or np.ptp(deltas) == 0:
+def weighted_interval(values: np.ndarray, counts: np.ndarray, confidence: float = 0.95) -> tuple[float | None, float | None, bool]:
+    """EST5: the shifts that the test does not reject, of values that occur so many times.
+
+    Away from the mean the observed sum grows at least as fast as any pattern's,
+    so p never rises again and bisection finds the ends. Unbounded where no
+    shift is rejected (few deltas) and where all deltas are equal.
+    """
+    if not len(values):
         return None, None, False
-    mean, ends = float(deltas.mean()), []
-    for far in (float(deltas.min()) - 1e-9, float(deltas.max()) + 1e-9):
+    alpha = round(1 - confidence, 12)
+    patterns = sign_patterns(values, counts, alpha)
+    low, high = float(values.min()), float(values.max())
+    margin, mean, ends = max(high - low, 1.0), patterns.whole / patterns.n, []
+    for far in (low - margin, high + margin):
+        if low == high or patterns.p(far) > alpha:
+            return None, None, False
         inside, outside = mean, far
         for _ in range(60):
             if round(inside, 6) == round(outside, 6):
                 break
             middle = (inside + outside) / 2
-            if _p_at(deltas, middle) > 1 - confidence:
+            if patterns.p(middle) > alpha:
                 inside = middle
             else:
                 outside = middle
@@ -141,16 +229,32 @@ ESTIMATE = "units long, mean double, p_value double, low double, high double, bo
 
 
 def sign_flip(units: DataFrame, by: Sequence[str], delta: str = "delta") -> DataFrame:
-    """EST9: test and interval of each group from one set of deltas; a group is a row per unit, not per run."""
+    """EST9: test and interval of each group from one set of deltas.
+
+    Equal deltas are counted where they are, so a group sends a row per distinct
+    delta, not per unit. Groups of nothing but nulls give no row.
+    """
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in units.select(*by).schema) + ", " + ESTIMATE
+    times = "__times"
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        d = np.sort(pdf[delta].to_numpy(dtype=float))
-        low, high, bounded = interval(d)
-        row = (*key, len(d), float(d.mean()), p_value(d), low, high, bounded)
+        pdf = pdf.sort_values(delta)
+        values, counts = pdf[delta].to_numpy(dtype=float), pdf[times].to_numpy(dtype=np.int64)
+        low, high, bounded = weighted_interval(values, counts)
+        patterns = sign_patterns(values, counts, shifts=False)
+        row = (*key, patterns.n, patterns.whole / patterns.n, patterns.p(), low, high, bounded)
         return pd.DataFrame([row], columns=[*by, "units", "mean", "p_value", "low", "high", "bounded"])
 
-    return units.select(*by, delta).groupBy(*by).applyInPandas(one, schema)
+    known = units.select(*by, F.col(delta).cast("double").alias(delta)).filter(F.col(delta).isNotNull() & ~F.isnan(delta))
+    return known.groupBy(*by, delta).agg(F.count("*").alias(times)).groupBy(*by).applyInPandas(one, schema)
+
+
+def minimum_units_note(unit: str, alpha: float = 0.05) -> str:
+    """EST13: how many units have to move before the test can reach alpha; unit is case, query, or another word with a plain plural."""
+    needed = cases_needed(alpha)
+    plural = "queries" if unit == "query" else f"{unit}s"
+    note = f"p <= {alpha:g} needs at least {needed} {plural} that move the same way (the smallest reachable p with {needed} is {2 / 2**needed:g})"
+    return note + ("; more repetitions sharpen each case's rate but do not add cases" if unit == "case" else "")
 
 
 def smallest_achievable_p(moved: Column) -> Column:

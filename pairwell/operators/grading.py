@@ -39,16 +39,15 @@ def skip_dependents(results: DataFrame, needs: DataFrame, run: str = "run_id") -
     needs: rows of name and prerequisite; a cycle is an error. One recursive query finds the fixed point.
     """
     spark = results.sparkSession
-    results.createOrReplaceTempView("pairwell_results")
-    needs.createOrReplaceTempView("pairwell_needs")
     closed = spark.sql(
         """WITH RECURSIVE reach(name, prerequisite) AS (
-             SELECT name, prerequisite FROM pairwell_needs
-             UNION ALL SELECT r.name, n.prerequisite FROM reach r JOIN pairwell_needs n ON n.name = r.prerequisite)
-           SELECT DISTINCT name, prerequisite FROM reach"""
+             SELECT name, prerequisite FROM {needs}
+             UNION ALL SELECT r.name, n.prerequisite FROM reach r JOIN {needs} n ON n.name = r.prerequisite)
+           SELECT DISTINCT name, prerequisite FROM reach""",
+        needs=needs,
     )
     bad = results.filter("skipped OR NOT passed").select(run, F.col("name").alias("prerequisite"))
-    hit = bad.join(F.broadcast(closed), "prerequisite").select(run, "name").distinct().withColumn("__hit", F.lit(True))
+    hit = bad.join(closed, "prerequisite").select(run, "name").distinct().withColumn("__hit", F.lit(True))
     return results.join(hit, [run, "name"], "left").withColumn("skipped", F.coalesce("__hit", "skipped")).drop("__hit")
 
 

@@ -79,13 +79,13 @@ def pair5(spark, sf_dir):
 
 
 @query("pair7_mismatched_repetition", f"""WITH {RUNS}, shifted AS (SELECT variant, case_id, model,
-  CASE WHEN variant = 'with_skill' AND case_id = 'c5' THEN run_number + 1000000 ELSE run_number END AS n FROM runs WHERE case_id IN ('c5', 'c6'))
+  CASE WHEN variant = 'with_skill' AND case_id = 'c5' THEN run_number + 1000000 ELSE run_number END AS n FROM runs)
 SELECT coalesce(l.case_id, r.case_id) AS case_id, CASE WHEN l.n IS NULL THEN 'missing_treatment' WHEN r.n IS NULL THEN 'missing_control' END AS reason, count(*) AS identities
 FROM (SELECT * FROM shifted WHERE variant = 'with_skill') l FULL OUTER JOIN (SELECT * FROM shifted WHERE variant = 'without_skill') r
   ON l.case_id = r.case_id AND l.model = r.model AND l.n = r.n GROUP BY ALL""")
 def pair7(spark, sf_dir):
     moved = F.when((F.col("variant") == "with_skill") & (F.col("case_id") == "c5"), F.col("run_number") + 1_000_000).otherwise(F.col("run_number"))
-    rows = runs(spark, sf_dir).filter("case_id IN ('c5', 'c6')").withColumn("run_number", moved)
+    rows = runs(spark, sf_dir).withColumn("run_number", moved)
     paired = pairing.pairs(rows, eligible=F.lit(True), payload=["rate"])
     return paired.groupBy("case_id", "reason").agg(F.count("*").alias("identities"))
 
@@ -209,25 +209,39 @@ def est2(spark, sf_dir):
     return estimates.summary(units(spark, sf_dir), ["model"], blocked=1)
 
 
-SMALL = f"""{UNITS}, small AS (SELECT model, case_id, round(delta * 4) / 4 AS delta FROM units WHERE CAST(substr(case_id, 2) AS INT) < 12)"""
+@query("est3_sign_flip", f"""WITH RECURSIVE {UNITS}, d AS (SELECT model, CAST(round(delta * 4) AS INT) AS step, row_number() OVER (PARTITION BY model ORDER BY case_id) AS i FROM units),
+dp AS (SELECT DISTINCT model, 0::BIGINT AS i, 0 AS s, 1.0::DOUBLE AS p FROM d
+  UNION ALL SELECT dp.model, dp.i + 1, dp.s + g.sign * d.step, sum(dp.p) / 2 FROM dp JOIN d ON d.model = dp.model AND d.i = dp.i + 1 CROSS JOIN (VALUES (1), (-1)) g(sign) GROUP BY 1, 2, 3),
+w AS (SELECT model, count(*) AS units, abs(sum(step)) AS whole FROM d GROUP BY 1)
+SELECT w.model, w.units, round(sum(dp.p) FILTER (WHERE abs(dp.s) >= whole), 9) AS p_value FROM w JOIN dp ON dp.model = w.model AND dp.i = w.units GROUP BY 1, 2""")
+def est3(spark, sf_dir):
+    quarters = units(spark, sf_dir).select("model", (F.round(F.col("delta") * 4) / 4).alias("delta"))
+    return estimates.sign_flip(quarters, ["model"]).select("model", "units", F.round("p_value", 9).alias("p_value"))
 
 
-def small(spark, sf_dir):
-    return units(spark, sf_dir).filter(F.substring("case_id", 2, 9).cast("int") < 12).select("model", "case_id", (F.round(F.col("delta") * 4) / 4).alias("delta"))
+def signs_sql(before: str, source: str, by: str) -> str:
+    """SQL for test and interval of quarter deltas: sums of signed deltas and of signs by recursion, and as ends the last shifts that are not rejected."""
+    return f"""WITH RECURSIVE {before}, d AS (SELECT {by}, CAST(round(delta * 4) AS INT) AS step, row_number() OVER (PARTITION BY {by} ORDER BY delta) AS i FROM {source} WHERE delta IS NOT NULL),
+dp AS (SELECT DISTINCT {by}, 0::BIGINT AS i, 0 AS s, 0 AS b, 1.0::DOUBLE AS p FROM d
+  UNION ALL SELECT dp.{by}, dp.i + 1, dp.s + g.sign * d.step, dp.b + g.sign, sum(dp.p) / 2 FROM dp JOIN d ON d.{by} = dp.{by} AND d.i = dp.i + 1 CROSS JOIN (VALUES (1), (-1)) g(sign) GROUP BY 1, 2, 3, 4),
+w AS (SELECT {by}, count(*) AS n, sum(step)::INT AS s, count(*) >= 6 AND min(step) < max(step) AS bounded FROM d GROUP BY 1),
+cells AS (SELECT dp.{by}, dp.s, dp.b, dp.p FROM dp JOIN w ON dp.{by} = w.{by} AND dp.i = w.n),
+shifts AS (SELECT {by}, (w.s - c.s)::DOUBLE / (w.n - c.b) AS t FROM cells c JOIN w USING ({by}) WHERE bounded AND w.n <> c.b UNION SELECT {by}, (w.s + c.s)::DOUBLE / (w.n + c.b) FROM cells c JOIN w USING ({by}) WHERE bounded AND w.n <> -c.b),
+kept AS (SELECT t.{by}, t.t FROM shifts t JOIN cells c ON c.{by} = t.{by} JOIN w ON w.{by} = t.{by} WHERE abs(c.s - t.t * c.b) >= abs(w.s - t.t * w.n) - 1e-9 GROUP BY 1, 2 HAVING sum(c.p) > 0.05),
+ends AS (SELECT {by}, min(t) / 4 AS low, max(t) / 4 AS high FROM kept GROUP BY 1),
+zero AS (SELECT c.{by}, sum(c.p) FILTER (WHERE abs(c.s) >= abs(w.s)) AS p FROM cells c JOIN w USING ({by}) GROUP BY 1)
+SELECT w.{by}, w.n AS units, round(w.s / 4 / w.n, 9) AS mean, round(zero.p, 9) AS p_value, round(low, 5) AS low, round(high, 5) AS high, bounded FROM w JOIN zero USING ({by}) LEFT JOIN ends USING ({by})"""
 
 
-@query("est3_sign_flip", f"""WITH {SMALL}, m AS (SELECT model, count(*) AS units, list(delta ORDER BY delta) FILTER (WHERE delta <> 0) AS moved FROM small GROUP BY model),
-x AS (SELECT model, units, coalesce(moved, []) AS moved FROM m),
-p AS (SELECT model, units, len(moved) AS k, abs(list_sum(moved)) AS whole, moved, unnest(range(0, CAST(pow(2, len(moved)) AS BIGINT))) AS pat FROM x),
-s AS (SELECT model, units, k, whole, abs(list_sum(list_transform(moved, lambda d, i: CASE WHEN (pat // CAST(pow(2, i - 1) AS BIGINT)) % 2 = 1 THEN -d ELSE d END))) AS v FROM p)
-SELECT model, units, CAST(k AS INT) AS moved_units, CASE WHEN k = 0 THEN 1.0 ELSE count(*) FILTER (WHERE v >= whole - 1e-12) / pow(2, k) END AS p_value FROM s GROUP BY model, units, k""")
-def est3(spark, sf_dir):
-    return estimates.sign_flip_exact(small(spark, sf_dir), ["model"])
+def signs(deltas, by):
+    """The same with the operator, of deltas in quarters."""
+    found = estimates.sign_flip(deltas.select(by, (F.round(F.col("delta") * 4) / 4).alias("delta")), [by])
+    return found.select(by, "units", F.round("mean", 9).alias("mean"), F.round("p_value", 9).alias("p_value"), F.round("low", 5).alias("low"), F.round("high", 5).alias("high"), "bounded")
 
 
-@query("est5_interval")
+@query("est5_interval", signs_sql(UNITS, "units", "model"))
 def est5(spark, sf_dir):
-    return estimates.sign_flip(units(spark, sf_dir), ["model"])
+    return signs(units(spark, sf_dir), "model")
 
 
 @query("est6_smallest_p", "SELECT c_custkey, least(1.0, 2.0 / pow(2, c_custkey % 20)) AS p FROM customer")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pairwell.operators import cohorts, costs, estimates, filters, pairing, reports, traces
-from pairwell.plans.core import OK, PAIRS, UNITS, units
+from pairwell.operators import cohorts, costs, estimates, filters, literals, pairing, registry, reports, traces
+from pairwell.plans.core import OK, PAIRS, UNITS, signs, signs_sql, units
 from pairwell.plans.registry import query
 from pairwell.plans.reporting import CASES, cases, findings, FINDINGS
 from pairwell.sources.evalviews import MEASUREMENTS, RUNS, TRACE, measurements, runs, table, trace
@@ -74,17 +74,19 @@ def src5(spark, sf_dir):
     return filters.artifact_status(d.filter("run > 4"), have, "run", "doc_id", "d")
 
 
-@query("src9_event_log", f"WITH {TRACE} SELECT run_id, index, CASE WHEN k % 2 = 0 THEN 'completed' WHEN status = 'started' THEN 'in_progress' ELSE status END AS state, CASE WHEN k % 2 = 0 THEN 'legacy' ELSE 'status' END AS state_source FROM trace")
+@query("src9_event_log", f"""WITH {TRACE}, v AS (SELECT run_id, index, run_id % 2 + 1 AS version, CASE k % 6 WHEN 0 THEN NULL WHEN 1 THEN ' Timed_Out ' WHEN 2 THEN 'odd' WHEN 3 THEN ' ' ELSE status END AS status FROM trace)
+SELECT run_id, index, CASE WHEN status IS NULL THEN CASE version WHEN 1 THEN 'completed' ELSE 'unknown' END WHEN status IN ('completed', 'failed') THEN status WHEN status = 'started' THEN 'in_progress' WHEN status = ' Timed_Out ' THEN 'failed' ELSE 'unknown' END AS state,
+  CASE WHEN status IS NULL THEN CASE version WHEN 1 THEN 'legacy_assumed_completed' ELSE 'unknown' END WHEN status IN ('odd', ' ') THEN 'unknown' ELSE 'provider_status' END AS state_source FROM v""")
 def src9(spark, sf_dir):
-    old = F.col("k") % 2 == 0  # version 1 has no status
-    return trace(spark, sf_dir).select(
-        "run_id", "index", F.when(old, "completed").otherwise(traces.event_state(F.col("status"))).alias("state"), F.when(old, "legacy").otherwise("status").alias("state_source")
-    )
+    k = F.col("k") % 6
+    status = F.when(k == 1, " Timed_Out ").when(k == 2, "odd").when(k == 3, " ").when(k > 3, F.col("status"))
+    v = trace(spark, sf_dir).withColumn("found", traces.event_log_state(F.col("run_id") % 2 + 1, status))
+    return v.select("run_id", "index", F.col("found.state").alias("state"), F.col("found.source").alias("state_source"))
 
 
-@query("src10_duplicate_ids", "SELECT user_id % 60 AS id, count(*) AS copies FROM events WHERE event_id % 50 = 0 GROUP BY 1 HAVING count(*) > 1")
+@query("src10_duplicate_ids", "SELECT user_id % 60 AS id, count(*) AS copies FROM events GROUP BY 1 HAVING count(*) > 1")
 def src10(spark, sf_dir):
-    return filters.duplicate_ids(table(spark, sf_dir, "events").filter("event_id % 50 = 0").select((F.col("user_id") % 60).alias("id")), "id")
+    return filters.duplicate_ids(table(spark, sf_dir, "events").select((F.col("user_id") % 60).alias("id")), "id")
 
 
 @query("src11_history_order", "SELECT CAST(day(ts) AS INT) AS ordinal, count(*) AS events, CAST(sum(count(*)) OVER (ORDER BY day(ts)) AS BIGINT) AS so_far FROM events GROUP BY day(ts)")
@@ -158,9 +160,9 @@ def est12(spark, sf_dir):
     return s.groupBy("variant").agg(F.count_if(ok).alias("scored"), F.count_if(~ok).alias("invalid_graded_score"))
 
 
-@query("est9_estimates")
+@query("est9_estimates", signs_sql(UNITS, "units", "case_id"))
 def est9(spark, sf_dir):
-    return estimates.sign_flip(units(spark, sf_dir), ["case_id"])
+    return signs(units(spark, sf_dir), "case_id")
 
 
 @query("rel1_pass_at_k", "SELECT p_partkey, CASE WHEN p_size % 7 BETWEEN 1 AND p_size THEN round(1 - list_product(list_transform(range(0, p_size % 7), lambda i: greatest(p_size - p_size // 2 - i, 0)::DOUBLE / (p_size - i))), 6) END AS p FROM part")
@@ -170,17 +172,18 @@ def rel1(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.round(p, 6).alias("p"))
 
 
-@query("rel6_pooled_significance")
+@query("rel6_pooled_significance", signs_sql(f"""{RUNS}, r AS (SELECT case_id, model, variant, round((count(*) FILTER (WHERE rate = 1))::DOUBLE / count(*), 6) AS p FROM runs WHERE {OK} GROUP BY ALL),
+g AS (SELECT w.model, w.p - o.p AS delta FROM r w JOIN r o ON w.case_id = o.case_id AND w.model = o.model AND w.variant = 'with_skill' AND o.variant = 'without_skill')""", "g", "model"))
 def rel6(spark, sf_dir):
     r = estimates.reliability(runs(spark, sf_dir).filter(pairing.scorable()), ["case_id", "model", "variant"], 1)
     g = r.groupBy("case_id", "model").agg(F.max(F.when(F.col("variant") == "with_skill", F.col("pass_at_k"))).alias("w"), F.max(F.when(F.col("variant") == "without_skill", F.col("pass_at_k"))).alias("o"))
-    return estimates.sign_flip(g.filter("w IS NOT NULL AND o IS NOT NULL").select("model", (F.col("w") - F.col("o")).alias("delta")), ["model"])
+    return signs(g.filter("w IS NOT NULL AND o IS NOT NULL").select("model", (F.col("w") - F.col("o")).alias("delta")), "model")
 
 
-@query("abl2_ablation_verdicts", f"""WITH {PAIRS}, g AS (SELECT case_id, model, count(*) FILTER (WHERE reason IS NULL) AS pairs, count(reason) AS blocked, count(*) FILTER (WHERE reason IS NULL AND treatment_rate > control_rate) AS drops, count(*) FILTER (WHERE reason IS NULL AND treatment_rate < control_rate) AS rises FROM paired WHERE run_number <= 4 GROUP BY 1, 2)
+@query("abl2_ablation_verdicts", f"""WITH {PAIRS}, g AS (SELECT case_id, model, count(*) FILTER (WHERE reason IS NULL) AS pairs, count(reason) AS blocked, count(*) FILTER (WHERE reason IS NULL AND treatment_rate > control_rate) AS drops, count(*) FILTER (WHERE reason IS NULL AND treatment_rate < control_rate) AS rises FROM paired GROUP BY 1, 2)
 SELECT *, CASE WHEN blocked > 0 OR pairs < 2 THEN 'indeterminate' WHEN drops <= rises THEN 'refuted' WHEN drops >= 6 AND rises = 0 THEN 'confirmed_causal' ELSE 'indeterminate' END AS verdict FROM g""")
 def abl2(spark, sf_dir):
-    return filters.ablation_verdicts(pairing.pairs(runs(spark, sf_dir)).filter("run_number <= 4"), ["case_id", "model"], F.lit(2))
+    return filters.ablation_verdicts(pairing.pairs(runs(spark, sf_dir)), ["case_id", "model"], F.lit(2))
 
 
 @query("abl5_provenance", "SELECT a.doc_id, a.source = b.source AND a.lang = b.lang AND md5(a.text) = md5(b.text) AS verified FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 20")
@@ -250,24 +253,21 @@ def cst15(spark, sf_dir):
     return m.withColumn("availability", once).select("l_orderkey", "l_linenumber", "availability")  # idempotent
 
 
-@query("lek2_rubric_leak", "SELECT item_id, (SELECT count(*) FROM documents d WHERE contains(lower(d.text), lower(substr(b.text, 1, 60)))) AS documents FROM benchmark b")
+@query("lek2_rubric_leak", "SELECT item_id, (SELECT count(*) FROM documents d WHERE contains(lower(d.text), lower(b.text))) AS documents FROM benchmark b")
 def lek2(spark, sf_dir):
-    b = F.broadcast(table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.substring("text", 1, 60)).alias("rubric")))  # a fixed set of items
-    hits = table(spark, sf_dir, "documents").select(F.lower("text").alias("t")).join(b, F.contains("t", "rubric")).groupBy("item_id").agg(F.count("*").alias("n"))
+    hits = literals.literal_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id").groupBy("item_id").agg(F.count("*").alias("n"))
     return table(spark, sf_dir, "benchmark").select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("documents"))
 
 
-@query("fnd1_registry", f"WITH {FINDINGS} SELECT kind, severity, mark, count(*) AS n FROM findings GROUP BY ALL")
+@query("fnd1_registry", f"WITH {FINDINGS} SELECT kind, subject, severity, mark, count(*) AS n FROM findings GROUP BY ALL")
 def fnd1(spark, sf_dir):
-    return findings(spark, sf_dir).groupBy("kind", "severity", "mark").agg(F.count("*").alias("n"))
+    return findings(spark, sf_dir).groupBy("kind", "subject", "severity", "mark").agg(F.count("*").alias("n"))
 
 
-@query("fnd4_unknown_tokens", "SELECT token FROM (VALUES ('warning'), ('nonsense'), ('click')) t(token) WHERE token NOT IN (SELECT event_type FROM events) AND token NOT IN ('error', 'warning', 'info')")
+@query("fnd4_unknown_tokens", f"WITH {FINDINGS}, t AS (SELECT DISTINCT kind AS token FROM findings UNION SELECT DISTINCT event_type FROM events UNION SELECT 'required') SELECT token FROM t WHERE token NOT IN (SELECT kind FROM registry) AND token NOT IN ('required', 'recommended')")
 def fnd4(spark, sf_dir):
-    policy = spark.sql("SELECT * FROM VALUES ('warning'), ('nonsense'), ('click') AS t(token)")
-    f = findings(spark, sf_dir)
-    known = f.select(F.col("kind").alias("token")).distinct().union(f.select("severity").distinct()).union(spark.sql("SELECT * FROM VALUES ('error'), ('warning'), ('info')"))
-    return policy.join(known, "token", "left_anti")
+    tokens = findings(spark, sf_dir).select(F.col("kind").alias("token")).union(table(spark, sf_dir, "events").select("event_type")).distinct()
+    return registry.unknown_tokens(tokens.union(spark.sql("SELECT 'required'")))
 
 
 @query("fnd6_coverage_audit", "SELECT c_mktsegment, count(*) AS n, concat_ws(',', CASE WHEN count(*) FILTER (WHERE c_nationkey = 3) < 10 THEN 'thin_split' END, CASE WHEN count(DISTINCT c_nationkey) < 25 THEN 'missing_taxonomy' END) AS gaps FROM customer GROUP BY 1")

@@ -4,19 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pairwell.operators import costs, pairing, reports
+from pairwell.operators import costs, literals, pairing, registry, reports
 from pairwell.plans.core import OK, UNITS, units
 from pairwell.plans.registry import query
 from pairwell.sources.evalviews import ASSERTIONS, MEASUREMENTS, RUNS, TRACE, assertion_results, measurements, runs, table, trace
 
-CASES = f"""{RUNS}, arms AS (SELECT case_id, model, avg(rate) FILTER (WHERE variant = 'with_skill' AND {OK}) AS w, avg(rate) FILTER (WHERE variant = 'without_skill' AND {OK}) AS n FROM (SELECT * FROM runs WHERE k < 8) GROUP BY ALL)"""
+CASES = f"""{RUNS}, arms AS (SELECT case_id, model, avg(rate) FILTER (WHERE variant = 'with_skill' AND {OK}) AS w, avg(rate) FILTER (WHERE variant = 'without_skill' AND {OK}) AS n FROM runs GROUP BY ALL)"""
 FLAGS = """list_filter([CASE WHEN w = 1 AND n = 1 THEN 'saturated' END, CASE WHEN w = 0 AND n = 0 THEN 'floor' END, CASE WHEN w = n AND w > 0 AND w < 1 THEN 'no objective lift' END,
   CASE WHEN w < 1 THEN 'with-skill failure' END, CASE WHEN w > 0.5 THEN 'flaky: with_skill' END], lambda x: x IS NOT NULL)"""
 
 
 def cases(spark, sf_dir):
     arm = lambda v: F.avg(F.when((F.col("variant") == v) & pairing.scorable(), F.col("rate")))
-    return runs(spark, sf_dir).filter("k < 8").groupBy("case_id", "model").agg(arm("with_skill").alias("w"), arm("without_skill").alias("n"))
+    return runs(spark, sf_dir).groupBy("case_id", "model").agg(arm("with_skill").alias("w"), arm("without_skill").alias("n"))
 
 
 def flagged(spark, sf_dir):
@@ -79,11 +79,11 @@ def dif4(spark, sf_dir):
     return reports.stale_cases(h, "case_id", "w", "n", F.col("case_id") == "c3")
 
 
-@query("dif6_trajectory_diff", f"""WITH {TRACE}, s AS (SELECT run_id % 40 AS case_id, name, bool_or(k % 2 = 0) AS w, bool_or(k % 2 = 1) AS n FROM trace WHERE k < 12 GROUP BY ALL)
+@query("dif6_trajectory_diff", f"""WITH {TRACE}, s AS (SELECT run_id % 40 AS case_id, name, bool_or(k % 2 = 0) AS w, bool_or(k % 2 = 1) AS n FROM trace GROUP BY ALL)
 SELECT case_id, coalesce(string_agg(name, ',' ORDER BY name) FILTER (WHERE w AND NOT n), '') AS only_with, coalesce(string_agg(name, ',' ORDER BY name) FILTER (WHERE n AND NOT w), '') AS only_without FROM s GROUP BY 1""")
 def dif6(spark, sf_dir):
     arm = F.when(F.col("k") % 2 == 0, "with_skill").otherwise("without_skill")
-    e = trace(spark, sf_dir).filter("k < 12").select((F.col("run_id") % 40).alias("case_id"), "name", arm.alias("arm"))
+    e = trace(spark, sf_dir).select((F.col("run_id") % 40).alias("case_id"), "name", arm.alias("arm"))
     d = reports.trajectory_diff(e, "arm", "case_id")
     return d.select("case_id", F.array_join("only_with", ",").alias("only_with"), F.array_join("only_without", ",").alias("only_without"))
 
@@ -112,12 +112,12 @@ def abl1(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", reports.evidence_class(k % 2 != 0, k % 3 != 0, k % 5 != 0, k % 7 != 0).alias("evidence"))
 
 
-@query("trg2_trigger_compare", f"""WITH {RUNS}, o AS (SELECT variant, model, case_id, CASE WHEN k < 98 THEN rate = 1 END AS passed FROM runs WHERE run_number <= 20 AND NOT (variant = 'without_skill' AND case_id = 'c9')),
+@query("trg2_trigger_compare", f"""WITH {RUNS}, o AS (SELECT variant, model, case_id, CASE WHEN k < 98 THEN rate = 1 END AS passed FROM runs WHERE NOT (variant = 'without_skill' AND case_id = 'c9')),
 b AS (SELECT model, case_id, count(*) AS n, count(passed) AS seen, avg(passed::INT::DOUBLE) AS r FROM o WHERE variant = 'with_skill' GROUP BY ALL), a AS (SELECT model, case_id, count(*) AS n, count(passed) AS seen, avg(passed::INT::DOUBLE) AS r FROM o WHERE variant = 'without_skill' GROUP BY ALL),
 j AS (SELECT coalesce(b.model, a.model) AS model, coalesce(b.case_id, a.case_id) AS case_id, CASE WHEN a.n IS NULL THEN 'missing_ablation_arm' WHEN b.n IS NULL THEN 'missing_baseline_arm' WHEN b.seen < b.n OR a.seen < a.n THEN 'ablation_observations_incomplete' WHEN b.n <> a.n THEN 'repetition_count_mismatch' END AS reason, round(a.r - b.r, 9) AS d FROM b FULL OUTER JOIN a ON a.model = b.model AND a.case_id = b.case_id)
 SELECT model, case_id, reason, CASE WHEN reason IS NULL THEN d END AS delta FROM j""")
 def trg2(spark, sf_dir):
-    o = runs(spark, sf_dir).filter("run_number <= 20 AND NOT (variant = 'without_skill' AND case_id = 'c9')")
+    o = runs(spark, sf_dir).filter("NOT (variant = 'without_skill' AND case_id = 'c9')")
     o = o.withColumn("passed", F.when(F.col("k") < 98, F.col("rate") == 1))
     c = reports.trigger_compare(o.filter("variant = 'with_skill'"), o.filter("variant = 'without_skill'"), ["model", "case_id"])
     return c.withColumn("delta", F.round("delta", 9))
@@ -129,28 +129,33 @@ def trg3(spark, sf_dir):
     return g.select("case_id", "cells", F.round("d", 9).alias("delta"), (F.col("d") < 0).alias("fell"))
 
 
-FINDINGS = """findings AS (SELECT event_type AS kind, CASE event_type WHEN 'error' THEN 'error' WHEN 'click' THEN 'warning' ELSE 'info' END AS severity,
-  CASE event_type WHEN 'error' THEN 'grading' WHEN 'click' THEN 'coverage' WHEN 'view' THEN 'coverage' ELSE 'signal' END AS mark FROM events)"""
+_REGISTRY = ", ".join(f"({i}, '{k}', '{s}', '{v}', {f"'{m}'" if m else 'NULL'})" for i, (k, s, v, m) in enumerate(registry.KINDS))
+FINDINGS = f"""registry(i, kind, subject, severity, mark) AS (VALUES {_REGISTRY}),
+  named AS (SELECT CASE WHEN user_id % 50 = 0 THEN 'no-such-kind' ELSE kind END AS kind, CASE WHEN event_type = 'error' THEN 'required' END AS own FROM events JOIN registry ON (event_id * 7 + user_id) % {len(registry.KINDS)} = i),
+  findings AS (SELECT n.kind, subject, CASE WHEN subject IS NOT NULL THEN coalesce(own, severity) END AS severity, mark FROM named n LEFT JOIN registry r ON n.kind = r.kind)"""
 
 
 def findings(spark, sf_dir):
-    t = F.col("event_type")
-    severity = F.when(t == "error", "error").when(t == "click", "warning").otherwise("info")
-    mark = F.when(t == "error", "grading").when(t.isin("click", "view"), "coverage").otherwise("signal")
-    return table(spark, sf_dir, "events").select(t.alias("kind"), severity.alias("severity"), mark.alias("mark"))
+    """Findings of registered and of unknown kinds, some with a severity of their own."""
+    kinds = F.array(*(F.lit(k[0]) for k in registry.KINDS))
+    kind = F.element_at(kinds, ((F.col("event_id") * 7 + F.col("user_id")) % len(registry.KINDS) + 1).cast("int"))
+    named = table(spark, sf_dir, "events").select(
+        F.when(F.col("user_id") % 50 == 0, "no-such-kind").otherwise(kind).alias("kind"), F.when(F.col("event_type") == "error", "required").alias("own")
+    )
+    return registry.registered(named, "own")
 
 
-@query("fnd2_eval_health", f"""WITH {FINDINGS}, marks(mark, observed) AS (VALUES ('grading', true), ('coverage', true), ('signal', true), ('cost', true), ('judges', false)),
+@query("fnd2_eval_health", f"""WITH {FINDINGS}, marks(mark, observed) AS (VALUES ('realistic-cases', true), ('grader-correct', true), ('baseline-headroom', true), ('noise-below-min-lift', true), ('arms-differ-only-in-skill', true), ('unmeasured', false)),
 g AS (SELECT mark, count(*) AS findings, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM findings GROUP BY 1)
 SELECT m.mark, coalesce(findings, 0) AS findings, coalesce(kinds, '') AS kinds, CASE WHEN findings > 0 THEN 'concern' WHEN observed THEN 'ok' ELSE 'unavailable' END AS state FROM marks m LEFT JOIN g ON m.mark = g.mark""")
 def fnd2(spark, sf_dir):
-    marks = spark.sql("SELECT * FROM VALUES ('grading', true), ('coverage', true), ('signal', true), ('cost', true), ('judges', false) AS t(mark, observed)")
+    marks = spark.sql("SELECT * FROM VALUES ('realistic-cases', true), ('grader-correct', true), ('baseline-headroom', true), ('noise-below-min-lift', true), ('arms-differ-only-in-skill', true), ('unmeasured', false) AS t(mark, observed)")
     return reports.eval_health(findings(spark, sf_dir), marks)
 
 
-@query("fnd3_gate", f"WITH {FINDINGS} SELECT count(*) AS matching, count(*) > 0 AS failed FROM findings WHERE kind IN ('warning', 'signup') OR severity IN ('warning', 'signup')")
+@query("fnd3_gate", f"WITH {FINDINGS} SELECT count(*) AS matching, count(*) > 0 AS failed FROM findings WHERE kind IN ('canary-hit', 'recommended') OR severity IN ('canary-hit', 'recommended')")
 def fnd3(spark, sf_dir):
-    policy = spark.sql("SELECT * FROM VALUES ('warning'), ('signup') AS t(token)")
+    policy = spark.sql("SELECT * FROM VALUES ('canary-hit'), ('recommended'), ('recommended') AS t(token)")
     return reports.gate(findings(spark, sf_dir), policy, complete=True)
 
 
@@ -171,13 +176,13 @@ def dsn1(spark, sf_dir):
 
 
 @query("dsn2_coverage", """WITH e AS (SELECT user_id, event_type FROM (SELECT DISTINCT user_id FROM events) CROSS JOIN (VALUES ('click'), ('view'), ('refund')) v(event_type)),
-h AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE event_id % 30 = 0 GROUP BY ALL)
+h AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL)
 SELECT coalesce(e.user_id, h.user_id) AS user_id, coalesce(e.event_type, h.event_type) AS event_type, CASE WHEN n IS NULL THEN 'missing' WHEN e.user_id IS NULL THEN 'extra' WHEN n > 1 THEN 'duplicate' ELSE 'present' END AS status
 FROM e FULL OUTER JOIN h ON e.user_id = h.user_id AND e.event_type = h.event_type""")
 def dsn2(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     want = e.select("user_id").distinct().withColumn("event_type", F.explode(F.array(*map(F.lit, ("click", "view", "refund")))))
-    return reports.design_coverage(want, e.filter("event_id % 30 = 0"), ["user_id", "event_type"])
+    return reports.design_coverage(want, e, ["user_id", "event_type"])
 
 
 @query("cst3_basis", "SELECT l_orderkey, l_linenumber, CASE WHEN l_tax = 0 THEN 'basis_missing' WHEN l_returnflag <> 'N' THEN 'population_mismatch' WHEN l_linestatus <> 'O' THEN 'provenance_mismatch' END AS reason FROM lineitem")
@@ -227,12 +232,15 @@ def cst16(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", costs.normal_cost(F.when(n % 2 == 0, q), q, n, F.col("l_tax") > 0.03).alias("cost"))
 
 
-@query("con1_canary", "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text))")
+@query("con1_canary", """WITH c AS (SELECT item_id || '/whole' AS canary_id, text AS canary FROM benchmark UNION ALL SELECT item_id || '/short', array_to_string(list_slice(string_split(text, ' '), 2, 4), ' ') FROM benchmark
+  UNION ALL SELECT item_id || '/word', list_extract(string_split(text, ' '), 5) FROM benchmark UNION ALL SELECT item_id || '/blank', ' ' FROM benchmark)
+SELECT d.doc_id, c.canary_id FROM documents d JOIN c ON trim(canary) <> '' AND contains(lower(d.text), lower(canary))""")
 def con1(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("canary"))
-    hits = costs.containment(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 8, "doc_id", "item_id", 0.5)
-    full = hits.join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").join(b, "item_id")
-    return full.filter(F.contains(F.lower("text"), F.lower("canary"))).select("doc_id", "item_id")
+    b = table(spark, sf_dir, "benchmark")
+    parts = F.split("text", " ")
+    named = lambda kind, canary: b.select(F.concat(F.col("item_id").cast("string"), F.lit(f"/{kind}")).alias("canary_id"), canary.alias("canary"))
+    canaries = named("whole", F.col("text")).union(named("short", F.array_join(F.slice(parts, 2, 3), " "))).union(named("word", F.get(parts, F.lit(4)))).union(named("blank", F.lit(" ")))
+    return literals.literal_hits(table(spark, sf_dir, "documents"), canaries, "doc_id", "canary_id", literal="canary")
 
 
 GRAMS = """list_distinct(CASE WHEN len(w) >= 8 THEN list_transform(range(1, len(w) - 6), lambda i: array_to_string(list_slice(w, i, i + 7), ' ')) ELSE [] END)"""

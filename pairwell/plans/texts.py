@@ -134,7 +134,8 @@ def trc1(spark, sf_dir):
 
 @query("trc2_kind", "SELECT event_id, CASE event_type WHEN 'view' THEN 'file_read' WHEN 'purchase' THEN 'file_write' WHEN 'click' THEN 'command' WHEN 'error' THEN 'error' ELSE 'event' END AS kind FROM events")
 def trc2(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", traces.kind_of(F.concat(F.lit("item."), F.col("event_type"))).alias("kind"))
+    raw = F.replace(F.replace(F.col("event_type"), F.lit("purchase"), F.lit("file_write")), F.lit("click"), F.lit("command_execution"))
+    return table(spark, sf_dir, "events").select("event_id", traces.kind_of(F.concat(F.lit("item."), raw)).alias("kind"))
 
 
 @query("trc3_open_calls", """WITH e AS (SELECT user_id, event_id // 4 AS call, CASE WHEN event_type IN ('click', 'view') THEN 'open' ELSE 'close' END AS kind FROM events),
@@ -171,10 +172,9 @@ def trc6(spark, sf_dir):
     return traces.stream_totals(trace(spark, sf_dir), "run_id", F.col("type") == "skill_load", "duration_ms", "index")
 
 
-@query("trc8_trajectory", f"""WITH {TRACE} SELECT run_id, count(*) AS steps, string_agg(name, '>' ORDER BY index) AS path FROM trace WHERE status = 'completed' GROUP BY run_id""")
+@query("trc8_trajectory", f"""WITH {TRACE} SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY index) AS INT) AS step, index, type, name FROM trace WHERE status = 'completed'""")
 def trc8(spark, sf_dir):
-    t = traces.trajectory(trace(spark, sf_dir))
-    return t.select("run_id", F.size("steps").cast("long").alias("steps"), F.array_join(F.transform("steps", lambda s: s["name"]), ">").alias("path"))
+    return traces.trajectory(trace(spark, sf_dir))
 
 
 @query("trc9_operation_evidence", f"WITH {TRACE} SELECT run_id, index, CASE WHEN k % 5 = 0 THEN 'process_incomplete' WHEN k % 7 = 0 THEN 'provider_incomplete' WHEN k % 11 = 0 THEN 'trace_incomplete' ELSE 'complete' END AS evidence FROM trace")
@@ -188,21 +188,21 @@ def prc1(spark, sf_dir):
     return traces.metrics(trace(spark, sf_dir)).select("run_id", "skill_invoked")
 
 
-@query("prc2_command_ran", f"WITH {TRACE} SELECT run_id, bool_or(name = 'cmd3' AND status = 'completed') AS command_ran, bool_or(name = 'cmd3') AS called_at_all FROM trace WHERE index <= 8 GROUP BY 1")
+@query("prc2_command_ran", f"WITH {TRACE} SELECT run_id, bool_or(name = 'cmd3' AND status = 'completed') AS command_ran, bool_or(name = 'cmd3') AS called_at_all FROM trace GROUP BY 1")
 def prc2(spark, sf_dir):
-    return traces.ran(trace(spark, sf_dir).filter("index <= 8"), "^cmd3$")
+    return traces.ran(trace(spark, sf_dir), "^cmd3$")
 
 
-@query("prc4_command_order", f"""WITH {TRACE}, s AS (SELECT run_id, ',' || string_agg(name, ',' ORDER BY index) || ',' AS p FROM trace WHERE status = 'completed' AND index <= 12 GROUP BY 1)
+@query("prc4_command_order", f"""WITH {TRACE}, s AS (SELECT run_id, ',' || string_agg(name, ',' ORDER BY index) || ',' AS p FROM trace WHERE status = 'completed' GROUP BY 1)
 SELECT run_id, regexp_matches(p, ',cmd1,(.*,)?cmd2,(.*,)?cmd3,') AS in_order FROM s""")
 def prc4(spark, sf_dir):
-    return traces.in_order(trace(spark, sf_dir).filter("index <= 12"), ["cmd1", "cmd2", "cmd3"])
+    return traces.in_order(trace(spark, sf_dir), ["cmd1", "cmd2", "cmd3"])
 
 
-@query("prc8_call_sets", f"""WITH {TRACE}, s AS (SELECT run_id, list(name ORDER BY name) AS n FROM trace WHERE status = 'completed' AND index <= 3 GROUP BY 1)
+@query("prc8_call_sets", f"""WITH {TRACE}, s AS (SELECT run_id, list(name ORDER BY name) AS n FROM trace WHERE status = 'completed' GROUP BY 1)
 SELECT run_id, list_contains(n, 'cmd1') AND list_contains(n, 'cmd2') AS required_calls, n = ['cmd1', 'cmd2'] AS call_set, CAST(len(n) AS INT) AS tool_count FROM s""")
 def prc8(spark, sf_dir):
-    return traces.call_sets(trace(spark, sf_dir).filter("index <= 3"), ["cmd2", "cmd1"])
+    return traces.call_sets(trace(spark, sf_dir), ["cmd2", "cmd1"])
 
 
 @query("prc11_repeat_loop", f"""WITH {TRACE}, i AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY index) - row_number() OVER (PARTITION BY run_id, name ORDER BY index) AS island FROM trace)

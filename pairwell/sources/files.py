@@ -51,7 +51,7 @@ def trace_lines(files: DataFrame, dialect: str, text: str = "text") -> DataFrame
     keys = [c for c in files.columns if c != text]
     lines = files.select(*keys, F.posexplode(F.split(text, "\n")).alias("at", "line")).filter(F.btrim("line") != "")
     return lines.select(
-        *keys, (F.col("at") + 1).alias("line_number"), kind.alias("raw_type"), kind_of(kind).alias("type"), name.alias("name"), event_state(status).alias("status")
+        *keys, (F.col("at") + 1).alias("line_number"), kind.alias("raw_type"), kind_of(kind).alias("type"), name.alias("name"), event_state(status, kind).alias("status")
     )
 
 
@@ -72,5 +72,5 @@ def write_json(report: DataFrame, path: str) -> None:
 
 def annotations(findings: DataFrame) -> DataFrame:
     """SNK3: a warning or error line per finding."""
-    level = F.when(F.col("severity") == "error", "error").otherwise("warning")
+    level = F.when(F.col("severity").isin("error", "required"), "error").otherwise("warning")
     return findings.select(F.format_string("::%s title=%s::%s", level, "kind", F.regexp_replace("message", r"[\r\n]+", " ")).alias("line"))

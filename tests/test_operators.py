@@ -77,7 +77,7 @@ def test_sampled_p_and_interval():
     assert estimates.sampled_p(d) == pytest.approx(brute_p(d.tolist()), abs=0.02)
     low, high, bounded = estimates.interval(d)
     assert bounded and low < d.mean() < high
-    assert (low > 0 or high < 0) == (estimates._p_at(d, 0.0) <= 0.05)
+    assert (low > 0 or high < 0) == (estimates.p_value(d) <= 0.05)
     assert estimates.interval(np.array([1.0, 0.5, 0.2])) == (None, None, False)
     assert estimates.interval(np.ones(20))[2] is False
     assert estimates.cases_needed(0.05) == 6

@@ -17,7 +17,7 @@ def test_manifest(spark, tmp_path):
 def test_run_folders_and_traces(spark, tmp_path):
     for run in ("c1/m1/with_skill/run-2", "c1/without_skill", "c2/old_skill/run-1"):
         (tmp_path / run).mkdir(parents=True)
-        (tmp_path / run / "trace.jsonl").write_text('{"type": "item.command", "name": "ls", "status": "ok"}\n\n{"type": "thread.started"}\n')
+        (tmp_path / run / "trace.jsonl").write_text('{"type": "item.command", "name": "ls", "status": "success"}\n\n{"type": "thread.started"}\n')
     found = files.run_files(spark, f"file://{tmp_path}", "trace.jsonl")
     got = sorted((r.case_id, r.model or "", r.variant, r.run_number) for r in found.collect())
     assert got == [("c1", "", "without_skill", 1), ("c1", "m1", "with_skill", 2), ("c2", "", "old_skill", 1)]
