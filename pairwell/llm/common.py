@@ -15,11 +15,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a temporary one in local mode; an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='pairwell-')}"
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")

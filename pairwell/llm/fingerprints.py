@@ -192,9 +192,13 @@ def _differing(members: DataFrame) -> DataFrame:
 
 
 def verified(rows: DataFrame) -> DataFrame:
-    """Compares canonical bytes (zstd frames) inside buckets; whoever differs from the bucket's first gets a suffix."""
+    """Compares canonical bytes (zstd frames) inside buckets; whoever differs from the bucket's first gets a suffix.
+
+    The least and the greatest frame of a bucket are found where its members are, so a hot bucket sends two
+    frames a task; only members of a bucket in which they differ are joined with its first.
+    """
     members = rows.filter(F.col("canon").isNotNull()).select("doc_id", "hash", "canon")
-    first = members.groupBy("hash").agg(F.min("canon").alias("first"))
+    first = members.groupBy("hash").agg(F.min("canon").alias("first"), F.max("canon").alias("last")).filter("first <> last").select("hash", "first")
     odd = members.join(first, "hash").filter(F.col("canon") != F.col("first"))
     odd = _differing(odd).distinct()
     odd = odd.select(F.col("doc_id").alias("odd_id"), F.col("hash").alias("odd_hash"), "suffix")
@@ -204,7 +208,7 @@ def verified(rows: DataFrame) -> DataFrame:
         "n_chars",
         "edited_sha256",
         F.concat_ws("-", "hash", "suffix").alias("fingerprint"),
-        F.col("edited_hash").alias("edited_fingerprint"),
+        F.when(F.col("near_edited") == 1, F.concat_ws("-", "hash", "suffix")).otherwise(F.col("edited_hash")).alias("edited_fingerprint"),
         "near_edited",
         "near_next",
     )

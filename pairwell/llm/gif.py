@@ -12,7 +12,7 @@ one palette index per byte, at most FRAME_ROWS rows a frame.
 
 Defined cases: a null text is the empty text, a frame of 64 zero bytes;
 repeated rows give equal values; rows without an id keep it null; a null media
-value gives no frames; an empty table gives no rows; extra columns are not read.
+value gives no frames, a damaged one an error row; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -88,6 +88,19 @@ def lzw_encode(data: bytes, bits: int = 8) -> bytes:
     return np.packbits(spread[lanes < widths[:, None]], bitorder="little").tobytes()
 
 
+def _codes_from(raw: np.ndarray, at: int, bits: int, limit: int, all_: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets, widths and codes that follow bit `at`: as many as fill the table, or all up to the end."""
+    offsets, widths = at + _OFFSETS[bits][:-1], _WIDTHS[bits]
+    if all_:
+        more = offsets[-1] + 12 * (1 + np.arange(max(0, limit - int(offsets[-1])) // 12))
+        offsets, widths = np.concatenate([offsets, more]), np.concatenate([widths, np.full(len(more), 12, widths.dtype)])
+    count = int(np.searchsorted(offsets + widths, limit, "right"))
+    offsets, widths = offsets[:count], widths[:count]
+    byte = offsets >> 3
+    window = raw[byte] | raw[byte + 1] << 8 | raw[byte + 2] << 16
+    return offsets, widths, (window >> (offsets & 7).astype(np.uint32)) & ((1 << widths) - 1).astype(np.uint32)
+
+
 def lzw_decode(stream: bytes, bits: int, size: int) -> bytes:
     """The first `size` pixels of a code stream; what is missing is zero."""
     clear, end = 1 << bits, (1 << bits) + 1
@@ -95,14 +108,12 @@ def lzw_decode(stream: bytes, bits: int, size: int) -> bytes:
     limit, at, got, out = 8 * len(stream), 0, 0, []
     singles = [bytes([i]) for i in range(clear)] + [b"", b""]
     while got < size and at + bits + 1 <= limit:
-        offsets = at + _OFFSETS[bits][:-1]
-        count = int(np.searchsorted(offsets + _WIDTHS[bits], limit, "right"))
-        offsets, widths = offsets[:count], _WIDTHS[bits][:count]
-        byte = offsets >> 3
-        window = raw[byte] | raw[byte + 1] << 8 | raw[byte + 2] << 16
-        found = (window >> (offsets & 7).astype(np.uint32)) & ((1 << widths) - 1).astype(np.uint32)
+        offsets, widths, found = _codes_from(raw, at, bits, limit, False)
         stops = np.flatnonzero((found == clear) | (found == end))
-        run = int(stops[0]) if len(stops) else count
+        if not len(stops) and len(found) == _FULL:  # the clear code is deferred: the table stays, the codes too are as wide as before
+            offsets, widths, found = _codes_from(raw, at, bits, limit, True)
+            stops = np.flatnonzero((found == clear) | (found == end))
+        run = int(stops[0]) if len(stops) else len(found)
         codes = found[:run].tolist()
         if codes and codes[0] < clear:
             table = singles.copy()
@@ -127,9 +138,7 @@ def lzw_decode(stream: bytes, bits: int, size: int) -> bytes:
         elif codes:
             raise ValueError("first code is no pixel")
         if not len(stops):
-            if count < _FULL:
-                break
-            raise ValueError("a full table is not cleared")
+            break
         at = int(offsets[run] + widths[run])
         if found[run] == end:
             break
@@ -184,6 +193,7 @@ class Gif:
     height: int
     comment: bytes
     frames: list[Frame]
+    error: str | None = None
 
 
 def _read_blocks(data: bytes, at: int) -> tuple[bytes, int]:
@@ -210,14 +220,23 @@ def _deinterlaced(indices: bytes, width: int, height: int) -> bytes:
 
 
 def parse(data: bytes) -> Gif:
-    """All frames of a GIF file with their palettes and rules."""
+    """All frames of a GIF file with their palettes and rules; of a damaged one those before the damage, and what it is."""
+    gif = Gif(0, 0, b"", [])
+    try:
+        _parse(data, gif)
+    except (ValueError, IndexError, struct.error) as e:
+        gif.error = "cut short" if isinstance(e, IndexError) else str(e)
+    return gif
+
+
+def _parse(data: bytes, gif: Gif) -> None:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("no GIF")
     width, height, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
     at, shared = 13, np.zeros((256, 3), np.uint8)
     if flags & 0x80:
         shared, at = _palette(data, at, flags)
-    gif, control = Gif(width, height, b"", []), (0, 0, None)
+    gif.width, gif.height, control = width, height, (0, 0, None)
     while data[at] != 0x3B:
         if data[at] == 0x21:
             label, (body, after) = data[at + 1], _read_blocks(data, at + 2)
@@ -241,7 +260,6 @@ def parse(data: bytes) -> Gif:
             control = (0, 0, None)
         else:
             raise ValueError(f"no block at byte {at}")
-    return gif
 
 
 def _bins(palette: np.ndarray) -> np.ndarray:
@@ -294,12 +312,15 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 FRAMES = (
     "doc_id long, frame int, left int, top int, width int, height int, delay_ms long, disposal int, "
-    "transparent int, pixels binary, histogram array<long>"
+    "transparent int, pixels binary, histogram array<long>, error string"
 )
 
 
 def frames(media: DataFrame) -> DataFrame:
-    """A row per frame of each GIF in column media, with palette indices and the canvas's colour histogram."""
+    """A row per frame of each GIF in column media, with palette indices and the canvas's colour histogram.
+
+    A file that is damaged or no GIF has one row more, whose frame is null and whose error says why.
+    """
     out = ddl_schema(FRAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,8 +330,10 @@ def frames(media: DataFrame) -> DataFrame:
                 gif = parse(data) if data else Gif(0, 0, b"", [])
                 for i, (f, h) in enumerate(zip(gif.frames, histograms(gif))):
                     rows.append(
-                        (doc_id, i, f.left, f.top, f.width, f.height, f.delay_ms, f.disposal, f.transparent, f.indices, h.tolist())
+                        (doc_id, i, f.left, f.top, f.width, f.height, f.delay_ms, f.disposal, f.transparent, f.indices, h.tolist(), None)
                     )
+                if gif.error:
+                    rows.append((doc_id, *[None] * (len(out) - 2), gif.error))
             yield record_batch(list(zip(*rows)) or [[]] * len(out), out)
 
     return media.select("doc_id", "media").mapInArrow(run, FRAMES)
@@ -324,6 +347,8 @@ STORED = (
 
 def _stored(doc_id: int | None, data: bytes) -> tuple:
     gif = parse(data)
+    if gif.error:
+        raise ValueError(gif.error)
     payload = b"".join(f.indices for f in gif.frames)
     total = sum(histograms(gif))
     lasts = sum(f.delay_ms for f in gif.frames)

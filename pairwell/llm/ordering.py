@@ -43,19 +43,29 @@ class IdRanges:
         bucketed = Bucketizer(splits=splits, inputCol=probe, outputCol=out, handleInvalid="keep").transform(
             df.withColumn(probe, F.coalesce(F.col(key), F.lit(self.heads[0])).cast("double"))
         )
-        return bucketed.withColumn(out, F.when(F.col(key).isNull(), 0).otherwise(F.col(out).cast("int") + 1)).drop(probe)
+        # two ids may be one double: the head itself decides whether the id is in its part or in the one before
+        near = F.col(out).cast("int") + 1
+        head = F.element_at(F.array(*(F.lit(h).cast("long") for h in self.heads)), near)
+        exact = near - F.when((near > 1) & (F.col(key) < head), 1).otherwise(0)
+        return bucketed.withColumn(out, F.when(F.col(key).isNull(), 0).otherwise(exact)).drop(probe)
 
 
 def id_ranges(df: DataFrame, key: str, parts: int | None = None) -> IdRanges:
-    """Quantiles of the ids, at most `parts` of them (default: the shuffle partitions)."""
+    """Parts cut at quantiles of the ids, at most `parts` of them (default: the shuffle partitions).
+
+    Quantiles are doubles, so they only say where to cut; each part's head is the smallest id that lies in it.
+    """
     parts = parts or parallelism(df.sparkSession)
     cuts = [i / parts for i in range(1, parts)] or [0.5]
     low, inner, nulls = df.agg(
         F.min(key), F.percentile_approx(key, cuts, max(10_000, 20 * parts)), F.count(F.when(F.col(key).isNull(), 1))
     ).first()
     # ids that a double cannot tell apart may not be two heads
-    heads = {float(h): h for h in sorted({low, *(inner or [])} - {None}, reverse=True)}
-    return IdRanges(tuple(sorted(heads.values())), bool(nulls))
+    apart = lambda ids: tuple(sorted({float(h): h for h in sorted(ids, reverse=True)}.values()))
+    cuts_at = IdRanges(apart({low, *(inner or [])} - {None}), bool(nulls))
+    ids = df.select(F.col(key).cast("long").alias("__id")).filter("__id IS NOT NULL")
+    firsts = cuts_at.part(ids, "__id", "__part").groupBy("__part").agg(F.min("__id").alias("first")).collect()  # a row a part
+    return IdRanges(apart({r.first for r in firsts}), bool(nulls))
 
 
 def running_total(df: DataFrame, part: str, order: list[Column], value: Column, out: str) -> DataFrame:

@@ -72,6 +72,11 @@ def initial_map(sums: DataFrame, shards: int = SHARDS) -> DataFrame:
     )
 
 
+def even_map(sums: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """Version 1 of a map made before any sizes are known: slots are dealt to the shards by number."""
+    return sums.select("vslot", "bytes", "rows", F.pmod("vslot", F.lit(shards)).cast("int").alias("shard"), F.lit(1).alias("version"))
+
+
 def rebalance(current: DataFrame, sums: DataFrame, shards: int) -> DataFrame:
     """The next version of the map for new byte sums and `shards` shards.
 

@@ -11,7 +11,10 @@ Reading: files are taken as they come, gzip members or plain records. A
 member or record that fails a check (gzip CRC, version line, header, length,
 closing line ends, payload digest) is given up; the reader searches for the
 next place where a whole member or a version line stands, goes on there and
-logs the bytes between as a gap.
+logs the bytes between as a gap. A member of several records that breaks gives
+those before the break whose payloads match their digests, and a whole member
+with a damaged record gives the others; the member's range is then logged as a
+gap too.
 
 Defined cases: null html is an empty payload; a null url is left out and line
 ends in one are percent-encoded; rows without an id revisit the smallest id
@@ -38,6 +41,8 @@ RECORDS_PER_FILE = 8192
 LEVEL = 4
 #: How much of a file is fed to the inflater at once.
 CHUNK = 16 << 10
+#: The same in a damaged member, of which at most as much is lost before the break.
+FINE = 32
 DATE = "1970-01-01T00:00:00Z"
 #: Fixed by the WARC format.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -146,36 +151,66 @@ def _payload(block: bytes) -> bytes:
     return body if gap and head.startswith(b"HTTP/") else block
 
 
-def inflate(data: bytes, at: int) -> tuple[bytes, int]:
-    """Content and end of the gzip member at `at`; Damaged if it isn't whole."""
+def _pour(data: bytes, at: int, step: int) -> tuple[bytes, int | None, str]:
     pour, parts = zlib.decompressobj(31), []
     while not pour.eof:
-        some = data[at : at + CHUNK]
+        some = data[at : at + step]
         if not some:
-            raise Damaged("member end")
+            return b"".join(parts), None, "member end"
         try:
             parts.append(pour.decompress(some))
-        except zlib.error as e:
-            raise Damaged("member data") from e
+        except zlib.error:
+            return b"".join(parts), None, "member data"
         at += len(some)
-    return b"".join(parts), at - len(pour.unused_data)
+    return b"".join(parts), at - len(pour.unused_data), ""
 
 
-def _at(data: bytes, at: int) -> tuple[list[tuple[dict, bytes]], int]:
-    """The records of the member at `at`, or the plain record there."""
-    if data.startswith(b"\x1f\x8b", at):
-        content, end = inflate(data, at)
-        records, inner = [], 0
-        while inner < len(content):
-            headers, block, inner = parse_record(content, inner)
+def inflate(data: bytes, at: int) -> tuple[bytes, int | None, str]:
+    """Content and end of the gzip member at `at`; of a damaged one what comes before the break, no end, and why."""
+    content, end, why = _pour(data, at, CHUNK)
+    return (_pour(data, at, FINE)[0], None, why) if end is None else (content, end, "")
+
+
+def _proved(headers: dict) -> bool:
+    """Whether parse_record has held the payload against a digest."""
+    return headers.get("warc-type") == b"response" and headers.get("warc-payload-digest", b"").startswith(b"sha1:")
+
+
+def _inside(content: bytes) -> tuple[list[tuple[dict, bytes]], str]:
+    """The whole records of a member's content, found again at version lines after a damaged one, and the first damage."""
+    records, at, why = [], 0, ""
+    while at < len(content):
+        try:
+            headers, block, at = parse_record(content, at)
             records.append((headers, block))
+        except Damaged as e:
+            why = why or str(e)
+            found = _LINE.search(content, at + 1)
+            at = found.start() if found else len(content)
+    return records, why
+
+
+def _at(data: bytes, at: int) -> tuple[list[tuple[dict, bytes]], int | None, str]:
+    """The records of the member at `at`, or the plain record there; their end, None after a break; and what is damaged.
+
+    Of a member that does not inflate whole, the records before the break count whose payloads have their
+    digests; of one with wrong bytes, only if there are two or more: a header has no digest, so one of them may be wrong in it.
+    """
+    if data.startswith(b"\x1f\x8b", at):
+        content, end, why = inflate(data, at)
+        records, flaw = _inside(content)
+        if end is None:
+            records = [r for r in records if _proved(r[0])]
+            if why != "member end" and len(records) < 2:
+                records = []  # the damage may lie in the header of the one record
         if not records:
-            raise Damaged("empty member")
-        return records, end
+            raise Damaged(why or flaw or "empty member")
+        return records, end, why or flaw
     headers, block, end = parse_record(data, at)
-    return [(headers, block)], end
+    return [(headers, block)], end, ""
 
 
+_LINE = re.compile(rb"(?<=\n)WARC/\d")
 _NEXT = re.compile(rb"\x1f\x8b\x08|(?:(?<=\n)|(?<=\x00))WARC/\d")
 _PADDING = re.compile(rb"[\0\r\n]*")
 
@@ -192,7 +227,7 @@ def salvage(data: bytes) -> Iterator[tuple]:
         if at >= len(data):
             break
         try:
-            records, end = _at(data, at)
+            records, end, flaw = _at(data, at)
         except Damaged as e:
             if lost is None:
                 lost, reason = at, str(e)
@@ -203,7 +238,14 @@ def salvage(data: bytes) -> Iterator[tuple]:
             yield "gap", lost, at, reason
             lost = None
         for headers, block in records:
-            yield "record", at, end, headers, block
+            yield "record", at, at if end is None else end, headers, block
+        if end is None:  # the rest of the member is sought through like any other damage
+            lost, reason = at, flaw
+            found = _NEXT.search(data, at + 1)
+            at = found.start() if found else len(data)
+            continue
+        if flaw:
+            yield "gap", at, end, flaw
         at = end
     if lost is not None:
         yield "gap", lost, len(data), reason
