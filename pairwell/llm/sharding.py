@@ -22,6 +22,7 @@ from pairwell.llm.common import fresh_path, read_table
 #: Fixed number of virtual slots; a shard map never has more rows.
 SLOTS = 4096
 SHARDS = 8
+MAP = "vslot int, bytes long, rows long, shard int, version int"
 
 
 def virtual_slot(id_col: str, text_col: str, slots: int = SLOTS) -> Column:
@@ -137,9 +138,9 @@ def save_map(mapping: DataFrame, path: str) -> None:
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """A stored version of the map, by default the latest."""
-    stored = spark.read.parquet(path)
+    stored = spark.read.schema(MAP).parquet(path)  # an empty map has no file to tell its columns
     if version is None:
-        version = stored.agg(F.max("version")).first()[0]
+        version = stored.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
     return stored.filter(F.col("version") == version)
 
 
@@ -159,10 +160,13 @@ def place(rows: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def op9_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents into 8 shards of near equal bytes, through a stored map."""
+    """All documents into 8 shards of near equal bytes: a stored map made before sizes are known, edited by a rebalance."""
     rows = slotted(read_table(spark, sf_dir, "documents"))
-    path = fresh_path(spark, "shard-map")
-    save_map(initial_map(slot_bytes(rows)), path)
+    path, sums = fresh_path(spark, "shard-map"), fresh_path(spark, "slot-bytes")
+    slot_bytes(rows).write.parquet(sums)
+    sums = spark.read.parquet(sums)
+    save_map(even_map(sums), path)
+    save_map(rebalance(load_map(spark, path), sums, SHARDS), path)
     return place(rows, load_map(spark, path)).select(
         "doc_id",
         "size",

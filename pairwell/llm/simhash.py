@@ -14,7 +14,9 @@ key, a search from the first fingerprint takes out all it reaches before the
 next begins: it yields a spanning forest, at most one link a member, instead
 of all pairs. A link that a start's budgets refuse is found at another start.
 Keys with more than DENSE members are keyed again by the chain of seven, which
-fixes 32 bits in 14 ways.
+fixes 32 bits in 14 ways; if one has as many even then, its members are cut into
+blocks of about DENSE, and each two blocks are searched together in a task of
+their own.
 
 Defined cases: a null or blank text has fingerprint zero; fewer words than a
 shingle give one shingle; rows without an id take part and get the smallest id
@@ -60,6 +62,8 @@ ORDER_SAMPLE, ORDER_MOST = 20_000, 1 << 16
 SKETCH_BITS, BAND, REMEMBERED = 1024, 1.26, 4_000_000
 SEGMENTS, SEGMENT_BITS = 8, 8
 DENSE = 20_000
+#: Bits of a key for the number of its set and, above them and the agreeing segments, for either block.
+SET_BITS, BLOCK_BITS = 7, 12
 
 
 def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -167,7 +171,7 @@ def forest(members: np.ndarray, start: int) -> list[tuple[int, int]]:
 def _links(keyed: DataFrame, length: int) -> DataFrame:
     """Streams rows sorted by key and searches each key's members."""
     starts = [i for i, _ in segment_sets(length)]
-    shift = SEGMENT_BITS * len(segment_sets(length)[0][1])
+    shift, mask = SEGMENT_BITS * len(segment_sets(length)[0][1]), (1 << SET_BITS) - 1
     out = ddl_schema("u long, v long")
 
     def search(keys: np.ndarray, fps: np.ndarray) -> list[tuple[int, int]]:
@@ -175,13 +179,13 @@ def _links(keyed: DataFrame, length: int) -> DataFrame:
         begins, ends = np.r_[0, cuts], np.r_[cuts, len(keys)]
         found, sizes = [], ends - begins
         pairs = begins[sizes == 2]  # most keys with company have two members: all at once by start
-        of = np.array(starts)[keys[pairs] >> shift]
+        of = np.array(starts)[keys[pairs] >> shift & mask]
         for start in np.unique(of).tolist():
             at = pairs[of == start]
             at = at[within_chain(fps[at] ^ fps[at + 1], start)]
             found += zip(fps[at].tolist(), fps[at + 1].tolist())
         for a, b in zip(begins[sizes > 2].tolist(), ends[sizes > 2].tolist()):
-            found += forest(fps[a:b], starts[int(keys[a]) >> shift])
+            found += forest(fps[a:b], starts[int(keys[a]) >> shift & mask])
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,13 +211,30 @@ def _links(keyed: DataFrame, length: int) -> DataFrame:
     return parts.mapInArrow(run, "u long, v long")
 
 
+def _in_blocks(keyed: DataFrame) -> DataFrame:
+    """Members of keys of seven segments; those of a crowded key once for each pair of blocks that holds them.
+
+    Any two members are in one block or in two, so some pair of blocks holds both: no link is lost.
+    """
+    most = (1 << BLOCK_BITS) - 1
+    crowded = keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > DENSE)
+    crowded = crowded.select("key", F.least(F.ceil(F.col("n") / DENSE), F.lit(most)).cast("int").alias("blocks"))
+    marked = keyed.join(crowded, "key", "left")
+    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("long")
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1), lambda o: o != own)
+    pairs = F.transform(others, lambda o: F.shiftleft(F.least(own, o), BLOCK_BITS).bitwiseOR(F.greatest(own, o)))
+    pair = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs))
+    used = SET_BITS + 4 * SEGMENT_BITS
+    return marked.select("fp", "key", pair.alias("pair")).select("fp", F.shiftleft("pair", used).bitwiseOR(F.col("key")).alias("key"))
+
+
 def links(nodes: DataFrame) -> DataFrame:
     """Links between distinct fingerprints (column fp) that join whatever is within 4 bits."""
     keyed = _keyed(nodes, 5)
     dense = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > DENSE).select("key"), "dense-keys")
     if dense.isEmpty():
         return _links(keyed, 5).distinct()
-    again = _keyed(keyed.join(dense, "key", "left_semi").select("fp").distinct(), 7)
+    again = _in_blocks(_keyed(keyed.join(dense, "key", "left_semi").select("fp").distinct(), 7))
     return _links(keyed.join(dense, "key", "left_anti"), 5).union(_links(again, 7)).distinct()
 
 

@@ -69,3 +69,11 @@ def test_rebalance_moves_little_and_versions(spark, make_docs, tmp_path):
 def test_empty(spark, make_docs):
     docs, mapping = run([], make_docs, spark)
     assert mapping.count() == 0 and sharding.place(docs, mapping).count() == 0
+
+
+def test_query_edits_the_stored_map(spark, make_docs, odd_rows, tmp_path):
+    for name, rows in (("some", odd_rows), ("none", [])):
+        make_docs(rows).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        placed = sharding.op9_virtual_slots(spark, f"{tmp_path}/{name}").collect()
+        check(placed, rows)
+        assert {r.map_version for r in placed} == ({2} if rows else set())

@@ -91,7 +91,7 @@ def test_components_of_clusters(spark, monkeypatch):
         values |= {flip(rng, centre, 6) for _ in range(rng.choice([1, 3, 20, 60]))}
     want = groups(sorted(values), near)
     nodes = spark.createDataFrame([(signed(v),) for v in values], "fp long")
-    for dense in (20_000, 10):
+    for dense in (20_000, 10, 2):
         monkeypatch.setattr(simhash, "DENSE", dense)
         edges = simhash.links(nodes).collect()
         assert all(near(r.u & (2**64 - 1), r.v & (2**64 - 1)) for r in edges)
@@ -126,3 +126,17 @@ def test_long_chain_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 500 + i) for i in range(1, 50)], "u long, v long")
     got = {(r.node, r.label) for r in connected_components(edges).collect()}
     assert got == {(i, 0) for i in range(201)} | {(500 + i, 500) for i in range(50)}
+
+
+def test_crowded_keys_are_searched_in_blocks(spark, monkeypatch):
+    rng = random.Random(9)
+    low = [rng.getrandbits(32) for _ in range(20)]
+    values = {(0xABCD1234 << 32) | v ^ sum(1 << b for b in rng.sample(range(32), k)) for v in low for k in range(5)}
+    want = groups(sorted(values), near)
+    monkeypatch.setattr(simhash, "DENSE", 3)
+    nodes = spark.createDataFrame([(signed(v),) for v in values], "fp long")
+    blocks = simhash._in_blocks(simhash._keyed(nodes, 7)).groupBy("key").count().agg({"count": "max"}).first()[0]
+    assert blocks < len(values)  # no key holds them all
+    linked = {frozenset((r.u & (2**64 - 1), r.v & (2**64 - 1))) for r in simhash.links(nodes).collect()}
+    assert all(near(*pair) for pair in linked)
+    assert groups(sorted(values), lambda a, b: frozenset((a, b)) in linked) == want
