@@ -89,8 +89,10 @@ def strictly_equal(left: Column, right: Column) -> Column:
 
 def fan_out(cases: DataFrame, rows: DataFrame, dataset: str, case_id: str, template: str, row_id: str, keys: Sequence[str]) -> DataFrame:
     """SRC3: a case for each row of its dataset, with the row's values in its template and `<case>-<row id>` as its id."""
-    filled = fill_template(F.col(template), list(keys), [F.col(k).cast("string") for k in keys])
-    return cases.join(rows, dataset).select(F.concat_ws("-", case_id, F.col(row_id).cast("string")).alias("id"), filled.alias("prompt"))
+    left = cases.select(dataset, F.col(case_id).alias("__case"), F.col(template).alias("__template"))
+    right = rows.select(dataset, F.col(row_id).cast("string").alias("__row"), *[F.col(k).cast("string").alias(f"__v{i}") for i, k in enumerate(keys)])
+    filled = fill_template(F.col("__template"), list(keys), [F.col(f"__v{i}") for i in range(len(keys))])
+    return left.join(right, dataset).select(F.concat_ws("-", "__case", "__row").alias("id"), filled.alias("prompt"))
 
 
 def known_answer(reference: Column, prompt: Column, required: list[str]) -> Column:

@@ -112,11 +112,17 @@ def judgements(rows: DataFrame, verdict: str) -> DataFrame:
 
 
 def junit(results: DataFrame, suite: Column, case: Column, failed: Column) -> DataFrame:
-    """SNK2: one JUnit document per suite, a testcase per result; soft failures are not failures."""
+    """SNK2: the lines of one JUnit document per suite, to be written in order of place and line.
+
+    A testcase per result, soft failures are not failures. A suite is never gathered: its head carries the counts.
+    """
     esc = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
     line = F.concat(F.lit('<testcase name="'), esc(case), F.when(failed, F.lit('"><failure/></testcase>')).otherwise(F.lit('"/>')))
-    g = results.groupBy(suite.alias("suite")).agg(F.array_join(F.array_sort(F.collect_list(line)), "").alias("__body"), F.count("*").alias("tests"), F.count_if(failed).alias("failures"))
-    return g.select("suite", "tests", "failures", F.concat(F.lit("<testsuite>"), "__body", F.lit("</testsuite>")).alias("xml"))
+    g = results.groupBy(suite.alias("suite")).agg(F.count("*").alias("tests"), F.count_if(failed).alias("failures"))
+    head = F.format_string('<testsuite name="%s" tests="%s" failures="%s">', esc(F.col("suite")), "tests", "failures")
+    ends = F.explode(F.array(F.struct(F.lit(0).alias("place"), head.alias("line")), F.struct(F.lit(2).alias("place"), F.lit("</testsuite>").alias("line"))))
+    cases = results.select(suite.alias("suite"), F.lit(1).alias("place"), line.alias("line"))
+    return cases.unionByName(g.select("suite", ends.alias("__e")).select("suite", "__e.place", "__e.line"))
 
 
 def ablation_verdicts(paired: DataFrame, by: Sequence[str], expected_pairs: Column) -> DataFrame:

@@ -157,4 +157,4 @@ def trajectory(events: DataFrame, run: str = "run_id") -> DataFrame:
 
 def operation_evidence(process: Column, provider: Column, trace: Column) -> Column:
     """TRC9: the first channel that is not complete names the reason."""
-    return F.when(~process, "process_incomplete").when(~provider, "provider_incomplete").when(~trace, "trace_incomplete").otherwise("complete")
+    return F.when(~process, "process_observation_incomplete").when(~provider, "provider_response_incomplete").when(~trace, "trace_observation_incomplete").otherwise("complete")

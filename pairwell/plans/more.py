@@ -112,9 +112,9 @@ def src14(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", filters.lifecycle(status, state).alias("lifecycle"))
 
 
-@query("snk2_junit", """SELECT r_name AS suite, count(*) AS tests, count(*) FILTER (WHERE n_nationkey % 3 = 0) AS failures,
-  '<testsuite>' || string_agg('<testcase name="' || n_name || CASE WHEN n_nationkey % 3 = 0 THEN '"><failure/></testcase>' ELSE '"/>' END, '' ORDER BY '<testcase name="' || n_name || CASE WHEN n_nationkey % 3 = 0 THEN '"><failure/></testcase>' ELSE '"/>' END) || '</testsuite>' AS xml
-  FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1""")
+@query("snk2_junit", """WITH n AS (SELECT r_name AS suite, n_nationkey % 3 = 0 AS failed, n_name FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT suite, 1 AS place, '<testcase name="' || n_name || CASE WHEN failed THEN '"><failure/></testcase>' ELSE '"/>' END AS line FROM n
+UNION ALL SELECT suite, 0, '<testsuite name="' || suite || '" tests="' || count(*) || '" failures="' || count(*) FILTER (WHERE failed) || '">' FROM n GROUP BY 1 UNION ALL SELECT DISTINCT suite, 2, '</testsuite>' FROM n""")
 def snk2(spark, sf_dir):
     n = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
     return filters.junit(n, F.col("r_name"), F.col("n_name"), F.col("n_nationkey") % 3 == 0)

@@ -277,7 +277,9 @@ def lek1(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", either.alias("leaked"))
 
 
-@query("dig1_tree_digest", r"""SELECT c_nationkey, sha256(string_agg('a/' || c_mktsegment || '/' || c_custkey || chr(10) || md5(c_name) || chr(10), '' ORDER BY ['a', c_mktsegment, c_custkey::VARCHAR])) AS tree_sha256 FROM customer GROUP BY 1""")
+@query("dig1_tree_digest", """WITH f AS (SELECT c_nationkey, 'a/' || c_mktsegment || '/' || c_custkey AS path, md5(c_name) AS sha FROM customer),
+b AS (SELECT c_nationkey, substr(sha256(path), 1, 3) AS bucket, sha256(string_agg(path || chr(10) || sha || chr(10), '' ORDER BY path, sha)) AS sha FROM f GROUP BY 1, 2)
+SELECT c_nationkey, sha256(string_agg(bucket || chr(10) || sha || chr(10), '' ORDER BY bucket)) AS tree_sha256 FROM b GROUP BY 1""")
 def dig1(spark, sf_dir):
     files = table(spark, sf_dir, "customer").select("c_nationkey", F.concat(F.lit("a/"), "c_mktsegment", F.lit("/"), F.col("c_custkey").cast("string")).alias("path"), F.md5("c_name").alias("sha"))
     return costs.tree_digest(files, ["c_nationkey"], "path", "sha")

@@ -177,7 +177,7 @@ def trc8(spark, sf_dir):
     return traces.trajectory(trace(spark, sf_dir))
 
 
-@query("trc9_operation_evidence", f"WITH {TRACE} SELECT run_id, index, CASE WHEN k % 5 = 0 THEN 'process_incomplete' WHEN k % 7 = 0 THEN 'provider_incomplete' WHEN k % 11 = 0 THEN 'trace_incomplete' ELSE 'complete' END AS evidence FROM trace")
+@query("trc9_operation_evidence", f"WITH {TRACE} SELECT run_id, index, CASE WHEN k % 5 = 0 THEN 'process_observation_incomplete' WHEN k % 7 = 0 THEN 'provider_response_incomplete' WHEN k % 11 = 0 THEN 'trace_observation_incomplete' ELSE 'complete' END AS evidence FROM trace")
 def trc9(spark, sf_dir):
     k = F.col("k")
     return trace(spark, sf_dir).select("run_id", "index", traces.operation_evidence(k % 5 != 0, k % 7 != 0, k % 11 != 0).alias("evidence"))

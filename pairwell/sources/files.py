@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairwell.operators.traces import event_state, kind_of
 
@@ -32,6 +35,26 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return m.select(version.alias("version"), "skill_name", F.explode("cases").alias("case")).select("version", "skill_name", "case.*")
 
 
+def yaml_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """SRC2: the same rows of a YAML manifest, with the name of each case's dataset; a manifest is a small file."""
+    import yaml  # not everywhere at hand
+
+    whole = spark.read.text(path, wholetext=True).first()[0]
+    m = yaml.safe_load(whole)
+    if m.get("version") not in (1, 2):
+        raise ValueError("unknown manifest version")
+    schema = T.StructType.fromDDL(f"case {CASE}")["case"].dataType.add("dataset", "string")
+    cases = spark.createDataFrame([tuple(c.get(f) for f in schema.names) for c in m.get("cases") or []], schema)
+    return cases.select(F.lit(m["version"]).alias("version"), F.lit(m.get("skill_name")).alias("skill_name"), "*")
+
+
+def dataset_rows(spark: SparkSession, root: str, names: Sequence[str], row_id: str = "id") -> DataFrame:
+    """SRC2: the rows of JSONL datasets, each with its dataset's name and row_id."""
+    rows = spark.read.json([f"{root}/{n}" for n in names])
+    file = F.substring_index(F.col("_metadata.file_path"), "/", -1)
+    return rows.select("*", file.alias("dataset"), F.col(row_id).alias("row_id"))
+
+
 def run_files(spark: SparkSession, root: str, name: str) -> DataFrame:
     """SRC4: files called `name` below case/[model/]variant/[run-n/], with their coordinate and text."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(root)

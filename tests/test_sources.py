@@ -2,6 +2,7 @@ import json
 
 import pytest
 
+from pairwell.operators.contracts import fan_out
 from pairwell.sources import files
 from pairwell.streaming import rates
 
@@ -45,3 +46,17 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.measured, r.passed) for r in spark.table("rates").collect()) == [(1, 0), (1, 1)]
+
+
+def test_yaml_manifest_and_dataset_rows(spark, tmp_path):
+    pytest.importorskip("yaml")
+    (tmp_path / "m.yaml").write_text("version: 1\nskill_name: s\ncases:\n  - id: a\n    prompt: Say {word}\n    dataset: d.jsonl\n    split: tune\n  - {id: b, should_trigger: false}\n")
+    cases = files.yaml_manifest(spark, str(tmp_path / "m.yaml"))
+    assert [(r.version, r.id, r.split, r.should_trigger, r.dataset) for r in cases.orderBy("id").collect()] == [(1, "a", "tune", None, "d.jsonl"), (1, "b", None, False, None)]
+    (tmp_path / "d.jsonl").write_text('{"id": 1, "word": "x"}\n{"id": 2, "word": "y"}\n')
+    rows = files.dataset_rows(spark, str(tmp_path), ["d.jsonl"])
+    out = fan_out(cases, rows, "dataset", "id", "prompt", "row_id", ["word"])
+    assert sorted(map(tuple, out.collect())) == [("a-1", "Say x"), ("a-2", "Say y")]
+    (tmp_path / "m.yaml").write_text("version: 3\ncases: []\n")
+    with pytest.raises(ValueError, match="unknown manifest version"):
+        files.yaml_manifest(spark, str(tmp_path / "m.yaml"))
