@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pairwell.llm import fingerprints, gif, language, packing, pieces, quality, sharding, simhash, token_files, warc
+from pairwell.llm import fingerprints, gif, language, packing, periods, phrases, pieces, quality, secrets, sharding, simhash, token_files, warc
 
 QUERIES = {
     "op1_pigeonring_simhash": simhash.op1_pigeonring_simhash,
@@ -15,7 +15,10 @@ QUERIES = {
     "op8_power_of_two": packing.op8_power_of_two,
     "op9_virtual_slots": sharding.op9_virtual_slots,
     "op10_canonical_digest": fingerprints.op10_canonical_digest,
+    "op11_decoding_worklist": secrets.op11_decoding_worklist,
+    "op12_count_tries": phrases.op12_count_tries,
+    "op13_main_lorentz": periods.op13_main_lorentz,
 }
 
-#: None of them has an SQL form: they need hashes, codecs or tokenizers that DuckDB lacks.
-ORACLES: dict[str, str] = {}
+#: The others have no SQL form: they need hashes, codecs, decoders, recursion over words or tokenizers that DuckDB lacks.
+ORACLES: dict[str, str] = {"op12_count_tries": phrases.OP12_SQL}
