@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import json
+import math
 import unicodedata
 
 import pandas as pd
@@ -131,7 +132,8 @@ def _schema_errors(value, schema: dict, at: str = "$") -> list[str]:
             return [f"{at}: not {want}"]
     elif want and not isinstance(value, kinds[want]):
         return [f"{at}: not {want}"]
-    same = lambda a, b: type(a) is type(b) and a == b
+    typed = lambda x: json.dumps(x, sort_keys=True, allow_nan=False)
+    same = lambda a, b: typed(a) == typed(b)
     if "const" in schema and not same(value, schema["const"]):
         found.append(f"{at}: not the constant")
     if "enum" in schema and not any(same(value, e) for e in schema["enum"]):
@@ -175,6 +177,8 @@ def parse_strict(text: str | None, depth: int = 100):
         raise ValueError(f"not a JSON number: {name}")
 
     def deep(value, left):
+        if isinstance(value, float) and not math.isfinite(value):
+            raise ValueError("number out of range")
         if not isinstance(value, dict | list):
             return
         if left == 0:
@@ -185,7 +189,7 @@ def parse_strict(text: str | None, depth: int = 100):
     try:
         value = json.loads(text or "", object_pairs_hook=pairs, parse_constant=constant)
         deep(value, depth)
-        json.dumps(value, ensure_ascii=False).encode()
+        json.dumps(value, ensure_ascii=False, allow_nan=False).encode()
         return value, None
     except RecursionError:
         return None, "too deep"

@@ -11,34 +11,6 @@ from pyspark.sql.window import Window
 from pairwell.functions.text import folded
 
 
-def basis_reason(left: dict[str, Column], right: dict[str, Column]) -> Column:
-    """CST3: the first part of the bases that differs; null if they agree."""
-    found = F.lit(None).cast("string")
-    for name in reversed(list(left)):
-        a, b = left[name], right[name]
-        found = F.when(a.isNull() | b.isNull(), "basis_missing").when(a != b, F.lit(f"{name}_mismatch")).otherwise(found)
-    return found
-
-
-def compare_cost(left: DataFrame, right: DataFrame, key: Sequence[str]) -> DataFrame:
-    """CST4: signed exact difference of two arms, or why there is none.
-
-    Both sides have: scorable, availability, amount, currency.
-    """
-    cols = ("scorable", "availability", "amount", "currency")
-    l = left.select(*key, *[F.col(c).alias(f"l_{c}") for c in cols])  # noqa: E741
-    r = right.select(*key, *[F.col(c).alias(f"r_{c}") for c in cols])
-    both = l.join(r, list(key), "full_outer")
-    reason = (
-        F.when(F.col("l_availability").isNull() | (F.col("l_availability") == "unavailable"), "missing_left")
-        .when(F.col("r_availability").isNull() | (F.col("r_availability") == "unavailable"), "missing_right")
-        .when(~F.col("l_scorable") | ~F.col("r_scorable"), "unscorable_arm")
-        .when((F.col("l_availability") == "not_applicable") | (F.col("r_availability") == "not_applicable"), "not_applicable")
-        .when(F.col("l_currency") != F.col("r_currency"), "currency_mismatch")
-    )
-    return both.select(*key, reason.alias("reason"), F.when(reason.isNull(), F.col("l_amount") - F.col("r_amount")).alias("delta"))
-
-
 def lift_per(lift: Column, denominator: Column, unit: float = 1.0) -> tuple[Column, Column]:
     """CST6: lift per unit of a positive denominator, else blocked."""
     ok = denominator > 0

@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Stop reasons of providers and their classes.
+#: Stop reasons of the messages interface and their classes.
 STOPS = {
-    "end_turn": "completed", "stop": "completed", "stop_sequence": "completed", "completed": "completed",
-    "max_tokens": "truncated", "length": "truncated", "error_max_turns": "turn_limit", "max_turns": "turn_limit", "refusal": "refused",
+    "end_turn": "completed", "stop_sequence": "completed", "max_tokens": "truncated",
+    "model_context_window_exceeded": "truncated", "refusal": "refused",
 }
 #: Status names of a run service and its lifecycle.
 LIFECYCLE = {
@@ -23,10 +23,13 @@ def _lookup(names: dict[str, str], key: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), key)
 
 
-def stop_class(reason: Column) -> Column:
-    """FLT4: the class of a stop reason; blank is unavailable, unknown is other."""
-    r = F.lower(F.btrim(reason))
-    return F.when(r.isNull() | (r == ""), "unavailable").otherwise(F.coalesce(_lookup(STOPS, r), F.lit("other")))
+def stop_class(reason: Column, subtype: Column | None = None) -> Column:
+    """FLT4: the class of a stop reason, word for word; blank is unavailable, an unknown or oddly spelt one is other.
+
+    subtype: that of the run's result event; a step budget that ran out outranks the last message's reason.
+    """
+    by_word = F.when(F.coalesce(F.btrim(reason), F.lit("")) == "", "unavailable").otherwise(F.coalesce(_lookup(STOPS, reason), F.lit("other")))
+    return by_word if subtype is None else F.when(subtype == "error_max_turns", "turn_limit").otherwise(by_word)
 
 
 def unscorable(stop: Column, served_check: Column) -> Column:
@@ -43,31 +46,6 @@ def execution_valid(lifecycle_error: Column, reason: Column, returncode: Column,
     return ~(F.coalesce(lifecycle_error, F.lit(False)) | reason.isNotNull() | (F.coalesce(returncode, F.lit(0)) != 0) | F.coalesce(timed_out, F.lit(False)) | marked)
 
 
-def base_model(name: Column) -> Column:
-    """A model name without routing prefix, context suffix, snapshot date or `-latest`."""
-    n = F.lower(F.btrim(name))
-    n = F.regexp_replace(n, r"^.*/", "")
-    n = F.regexp_replace(n, r"\[[^\]]*\]$", "")
-    return F.regexp_replace(n, r"(-latest|[-@]20[0-9]{6})$", "")
-
-
-def served_model_check(requested: Column, served: Column) -> Column:
-    """FLT5: match, mismatch, mixed, unavailable or not_requested; served is an array of names.
-
-    A dated request must be served by that date; an undated one by any snapshot of its model.
-    """
-    dated = F.rlike(requested, F.lit(r"20[0-9]{6}$"))
-    same = lambda s: F.when(dated, F.regexp_replace(F.lower(s), r"^.*/", "") == F.regexp_replace(F.lower(requested), r"^.*/", "")).otherwise(base_model(s) == base_model(requested))
-    n, ok = F.size(served), F.size(F.filter(served, same))
-    return (
-        F.when(requested.isNull() | (requested == ""), "not_requested")
-        .when(served.isNull() | (n <= 0), "unavailable")
-        .when(ok == n, "match")
-        .when(ok == 0, "mismatch")
-        .otherwise("mixed")
-    )
-
-
 def in_scope(variant: Column, only: Column, excluded: Column) -> Column:
     """FLT7: an assertion holds for a variant that its list names, or that its exceptions do not."""
     return (F.size(only) <= 0) | F.coalesce(F.array_contains(only, variant), F.lit(True)) & ~F.coalesce(F.array_contains(excluded, variant), F.lit(False))
@@ -105,10 +83,10 @@ def duplicate_ids(rows: DataFrame, key: str) -> DataFrame:
 
 
 def judgements(rows: DataFrame, verdict: str) -> DataFrame:
-    """SRC12: pass, fail or unsure, older good and bad included; anything else stays as it is, marked unparsed."""
-    v = F.lower(F.btrim(verdict))
+    """SRC12: pass, fail or unsure, older good and bad included, word for word; a blank verdict is a note alone; anything else stays as it is, marked unparsed."""
+    v = F.col(verdict)
     known = F.when(v.isin("pass", "good"), "pass").when(v.isin("fail", "bad"), "fail").when(v == "unsure", "unsure")
-    return rows.withColumn("judgement", known).withColumn("parsed", known.isNotNull())
+    return rows.withColumn("judgement", known).withColumn("parsed", known.isNotNull() | v.isNull() | (v == ""))
 
 
 def junit(results: DataFrame, suite: Column, case: Column, failed: Column) -> DataFrame:
@@ -140,12 +118,6 @@ def ablation_verdicts(paired: DataFrame, by: Sequence[str], expected_pairs: Colu
     return g.withColumn("verdict", verdict)
 
 
-def query_id(query: Column, should: Column) -> Column:
-    """TRG1: a stable id of a trigger query: white space as one space, ends trimmed, caseless (our canonical form)."""
-    tidy = F.lower(F.btrim(F.regexp_replace(query, r"[ \t\r\n]+", " ")))
-    return F.concat(F.lit("query-"), F.sha2(F.concat(tidy, F.lit("|"), should.cast("string")), 256))
-
-
 def measurement(value: Column, provenance: Column, sources: Sequence[str]) -> tuple[Column, Column]:
     """CST1: availability and reason of one reported value."""
     bad = F.when(value.isNull(), "missing").when(value < 0, "invalid").when(~provenance.isin(*sources), "unknown_provenance")

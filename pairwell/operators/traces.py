@@ -115,8 +115,7 @@ def in_order(events: DataFrame, names: list[str], run: str = "run_id") -> DataFr
 def call_sets(events: DataFrame, expected: list[str], run: str = "run_id") -> DataFrame:
     """PRC5, PRC8 to PRC10: required calls as a set, exact calls as a multiset, and their count; only counts are kept of a run."""
     counts = {name: expected.count(name) for name in sorted(set(expected))}
-    name = F.lower("name")
-    seen = {n: F.count_if(name == n) for n in counts}
+    seen = {n: F.count_if(F.col("name") == n) for n in counts}
     required, exact = F.lit(True), F.count("*") == len(expected)
     for n, times in counts.items():
         required, exact = required & (seen[n] > 0), exact & (seen[n] == times)

@@ -18,13 +18,17 @@ def flt2(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", valid.alias("valid"))
 
 
-STOP = "CASE event_type WHEN 'click' THEN 'completed' WHEN 'view' THEN 'truncated' WHEN 'purchase' THEN 'turn_limit' WHEN 'signup' THEN 'other' ELSE 'unavailable' END"
+#: By the contract: words as they are, so a capital, a blank beside or another provider's word is other; a turn limit outranks the last message.
+STOP = """CASE WHEN event_type = 'purchase' THEN 'turn_limit' WHEN event_type NOT IN ('click', 'view', 'signup') THEN 'unavailable' ELSE
+  (VALUES_OF)[event_id % 8 + 1] END""".replace("VALUES_OF", "['completed', 'completed', 'truncated', 'truncated', 'refused', 'other', 'other', 'other']")
 
 
 def stops(spark, sf_dir):
     t = F.col("event_type")
-    raw = F.when(t == "click", " End_Turn").when(t == "view", "max_tokens").when(t == "purchase", "error_max_turns").when(t == "signup", "odd").otherwise(" ")
-    return table(spark, sf_dir, "events").select("event_id", filters.stop_class(raw).alias("stop"))
+    words = F.array(*map(F.lit, ("end_turn", "stop_sequence", "max_tokens", "model_context_window_exceeded", "refusal", "End_Turn", " end_turn", "length")))
+    raw = F.when(t.isin("click", "view", "signup", "purchase"), F.get(words, (F.col("event_id") % 8).cast("int"))).otherwise(" ")
+    subtype = F.when(t == "purchase", "error_max_turns").otherwise("success")
+    return table(spark, sf_dir, "events").select("event_id", filters.stop_class(raw, subtype).alias("stop"))
 
 
 @query("flt4_stop_class", f"SELECT event_id, {STOP} AS stop FROM events")
@@ -38,16 +42,6 @@ def flt3(spark, sf_dir):
     return stops(spark, sf_dir).select("event_id", filters.unscorable(F.col("stop"), check).alias("reason"))
 
 
-@query("flt5_served_model", """SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN 'not_requested' WHEN 1 THEN 'unavailable' WHEN 2 THEN 'match' WHEN 3 THEN 'match' WHEN 4 THEN 'mismatch' WHEN 5 THEN 'mixed' ELSE 'mismatch' END AS served FROM customer""")
-def flt5(spark, sf_dir):
-    k = F.col("c_custkey") % 7
-    requested = F.when(k == 0, "").when(k == 3, "router/Alpha-2-latest").when(k == 6, "alpha-2-20240101").otherwise("alpha-2")
-    one = lambda *n: F.array(*map(F.lit, n))
-    served = F.when(k == 1, F.array().cast("array<string>")).when(k == 4, one("beta-1")).when(k == 5, one("alpha-2", "beta-1")).when(k == 6, one("alpha-2-20250505")).otherwise(one("alpha-2-20240101[1m]"))
-    served = F.when(k == 2, one("us/alpha-2-20240101")).when(k == 3, one("alpha-2[8k]")).otherwise(served)
-    return table(spark, sf_dir, "customer").select("c_custkey", filters.served_model_check(requested, served).alias("served"))
-
-
 @query("flt7_variant_scope", f"WITH {RUNS} SELECT event_id, variant = 'with_skill' AND k % 2 = 0 OR k % 2 = 1 AND variant <> 'without_skill' AS holds FROM runs")
 def flt7(spark, sf_dir):
     only = F.when(F.col("k") % 2 == 0, F.array(F.lit("with_skill"))).otherwise(F.array(F.lit("with_skill"), F.lit("without_skill")))
@@ -97,10 +91,10 @@ def src11(spark, sf_dir):
     return h.withColumn("so_far", F.sum("events").over(Window.orderBy("ordinal")))
 
 
-@query("src12_feedback", "SELECT event_id, CASE event_type WHEN 'click' THEN 'pass' WHEN 'view' THEN 'fail' WHEN 'signup' THEN 'unsure' END AS judgement, event_type IN ('click', 'view', 'signup') AS parsed FROM events")
+@query("src12_feedback", "SELECT event_id, CASE WHEN event_type = 'click' AND event_id % 2 = 1 THEN 'pass' WHEN event_type = 'view' THEN 'fail' WHEN event_type = 'signup' AND event_id % 3 > 0 THEN 'unsure' END AS judgement, event_type IN ('view', 'signup') OR event_type = 'click' AND event_id % 2 = 1 AS parsed FROM events")
 def src12(spark, sf_dir):
     t = F.col("event_type")
-    raw = F.when(t == "click", " Good").when(t == "view", "bad").when(t == "signup", "unsure").otherwise(t)
+    raw = F.when(t == "click", F.when(F.col("event_id") % 2 == 0, " Good").otherwise("good")).when(t == "view", "bad").when(t == "signup", F.when(F.col("event_id") % 3 > 0, "unsure").otherwise("")).otherwise(t)
     return filters.judgements(table(spark, sf_dir, "events").select("event_id", raw.alias("v")), "v").select("event_id", "judgement", "parsed")
 
 
@@ -198,11 +192,6 @@ def abl6(spark, sf_dir):
     return units(spark, sf_dir).groupBy("model").agg(F.bool_or((F.col("delta") > 0.2) & (F.col("pairs") >= 10)).alias("confirmed"))
 
 
-@query("trg1_query_ids", r"SELECT conv_id, turn, 'query-' || sha256(trim(regexp_replace(lower(text), '[ \t\r\n]+', ' ', 'g'), ' ') || '|' || CASE WHEN turn % 2 = 0 THEN 'true' ELSE 'false' END) AS query_id FROM conversations")
-def trg1(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", filters.query_id(F.col("text"), F.col("turn") % 2 == 0).alias("query_id"))
-
-
 @query("trg4_direction_gate", f"WITH {UNITS} SELECT model, CASE WHEN avg(delta) < 0 THEN 'regression' ELSE 'no_regression' END AS verdict FROM units GROUP BY 1")
 def trg4(spark, sf_dir):
     return units(spark, sf_dir).groupBy("model").agg(F.when(F.avg("delta") < 0, "regression").otherwise("no_regression").alias("verdict"))

@@ -185,22 +185,6 @@ def dsn2(spark, sf_dir):
     return reports.design_coverage(want, e, ["user_id", "event_type"])
 
 
-@query("cst3_basis", "SELECT l_orderkey, l_linenumber, CASE WHEN l_tax = 0 THEN 'basis_missing' WHEN l_returnflag <> 'N' THEN 'population_mismatch' WHEN l_linestatus <> 'O' THEN 'provenance_mismatch' END AS reason FROM lineitem")
-def cst3(spark, sf_dir):
-    left = {"population": F.when(F.col("l_tax") > 0, F.col("l_returnflag")), "provenance": F.col("l_linestatus")}
-    reason = costs.basis_reason(left, {"population": F.lit("N"), "provenance": F.lit("O")})
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", reason.alias("reason"))
-
-
-@query("cst4_compare_cost", f"""WITH {MEASUREMENTS}, x AS (SELECT *, tokens > 3 AS scorable FROM measurements), l AS (SELECT * FROM x WHERE l_linenumber = 1), r AS (SELECT * FROM x WHERE l_linenumber = 2),
-j AS (SELECT coalesce(l.l_orderkey, r.l_orderkey) AS l_orderkey, CASE WHEN l.availability IS NULL OR l.availability = 'unavailable' THEN 'missing_left' WHEN r.availability IS NULL OR r.availability = 'unavailable' THEN 'missing_right'
-  WHEN NOT l.scorable OR NOT r.scorable THEN 'unscorable_arm' WHEN l.availability = 'not_applicable' OR r.availability = 'not_applicable' THEN 'not_applicable' WHEN l.currency <> r.currency THEN 'currency_mismatch' END AS reason,
-  l.amount - r.amount AS d FROM l FULL OUTER JOIN r ON l.l_orderkey = r.l_orderkey) SELECT l_orderkey, reason, CAST(CASE WHEN reason IS NULL THEN d END AS DECIMAL(19,2)) AS delta FROM j""")
-def cst4(spark, sf_dir):
-    x = measurements(spark, sf_dir).withColumn("scorable", F.col("tokens") > 3)
-    return costs.compare_cost(x.filter("l_linenumber = 1"), x.filter("l_linenumber = 2"), ["l_orderkey"])
-
-
 @query("cst6_lift_per_dollar", "SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN round(0.25 / c_acctbal * 1000, 9) END AS value, CASE WHEN c_acctbal <= 0 THEN 'non_positive_denominator' END AS reason FROM customer")
 def cst6(spark, sf_dir):
     value, reason = costs.lift_per(F.lit(0.25), F.col("c_acctbal"), 1000)
