@@ -422,9 +422,15 @@ def _open_pairs(shared: DataFrame, labels: DataFrame) -> DataFrame:
 
 def similar_groups(docs: DataFrame, words: int = STAGE_WORDS) -> DataFrame:
     """doc_id and component_id, the smallest id of the component of texts at least SIMILAR, of every row."""
+    return _grouped(docs, words).select("doc_id", F.col("keeper.doc_id").alias("component_id"))
+
+
+def _grouped(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id and keeper of every row: struct(doc_id, text_hash) of its component's row with the smallest id, of equal ids the smallest hash."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     profiles = materialize(_profiles(source, words), "profiles")
-    classes = materialize(profiles.groupBy("digest").agg(F.min("id").alias("id"), F.min("doc_id").alias("first_id")), "set-classes")
+    row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))
+    classes = materialize(profiles.groupBy("digest").agg(F.min("id").alias("id"), F.min(row).alias("first_row")), "set-classes")
     nodes = materialize(profiles.drop("digest").join(classes.select("id"), "id", "left_semi"), "set-nodes")
 
     postings = nodes.select("id", "n", F.posexplode("first").alias("pos", "key"))
@@ -451,19 +457,22 @@ def similar_groups(docs: DataFrame, words: int = STAGE_WORDS) -> DataFrame:
     outer = joined.select(F.col("node").alias("label"), F.col("label").alias("outer"))
 
     merged = classes.join(labels, classes["id"] == labels["node"], "left").withColumn("label", F.coalesce("label", "id"))
-    merged = merged.join(outer, "label", "left").select("digest", "first_id", F.coalesce("outer", "label").alias("label"))
-    least = merged.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    return profiles.select("doc_id", "digest").join(merged.select("digest", "label"), "digest").join(least, "label").select("doc_id", "component_id")
+    merged = merged.join(outer, "label", "left").select("digest", "first_row", F.coalesce("outer", "label").alias("label"))
+    least = merged.groupBy("label").agg(F.min("first_row").alias("keeper"))
+    return profiles.select("doc_id", "digest").join(merged.select("digest", "label"), "digest").join(least, "label").select("doc_id", "keeper")
 
 
 def keep_one(docs: DataFrame, words: int = STAGE_WORDS) -> DataFrame:
     """One document of each component of near-copies stays, the one with the smallest id; all columns stay.
 
-    Of repeated rows of that id one stays. Rows without an id stay: nothing names them.
+    A row is its id and its text: other texts under a kept id are judged by their own component, of rows with equal id
+    and text one stays. Rows without an id stay: nothing names them.
     """
-    keeper = fresh_name(docs, "keeper_id")
-    keepers = similar_groups(docs, words).select(F.col("component_id").alias(keeper)).distinct()
-    kept = docs.join(keepers, docs["doc_id"] == F.col(keeper), "left_semi").dropDuplicates(["doc_id"])
+    own, of = fresh_name(docs, "text_hash"), fresh_name(docs, "keeper")
+    keepers = _grouped(docs, words).select(F.col("keeper").alias(of)).filter(F.col(of).isNotNull()).distinct()
+    hashed = docs.withColumn(own, F.xxhash64(F.col("text").cast("string")))
+    same = (hashed["doc_id"].cast("long") == F.col(f"{of}.doc_id")) & (hashed[own] == F.col(f"{of}.text_hash"))
+    kept = hashed.join(keepers, same, "left_semi").dropDuplicates(["doc_id", own]).drop(own)
     return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
