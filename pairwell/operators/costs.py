@@ -103,20 +103,6 @@ def leaked(prompt: Column, value: Column, min_chars: int) -> Column:
     return (F.length(folded(value)) >= min_chars) & F.contains(folded(prompt), folded(value))
 
 
-def tree_digest(files: DataFrame, root: Sequence[str], path: str, content_sha: str) -> DataFrame:
-    """DIG1: sha-256 over a tree, in two steps of our framing, so that no array holds a whole root.
-
-    Entries fall into 4096 buckets by the first three hex digits of their path's digest; a bucket's digest is taken over
-    its entries in order of path, each framed by line ends, and the tree's over the buckets' in order.
-    """
-    framed = lambda x, name: F.array_join(F.transform(x, lambda e: F.concat(e[name], F.lit("\n"), e["sha"], F.lit("\n"))), "")
-    entry = F.struct(F.col(path).alias("path"), F.col(content_sha).alias("sha"))
-    bucket = F.substring(F.sha2(F.col(path), 256), 1, 3).alias("__bucket")
-    inner = files.groupBy(*root, bucket).agg(F.sha2(framed(F.array_sort(F.collect_list(entry)), "path"), 256).alias("__sha"))
-    buckets = F.array_sort(F.collect_list(F.struct(F.col("__bucket").alias("bucket"), F.col("__sha").alias("sha"))))
-    return inner.groupBy(*root).agg(F.sha2(framed(buckets, "bucket"), 256).alias("tree_sha256"))
-
-
 def blind_side(key: Column, seed: int) -> Column:
     """CMP1: which side is A, by a keyed hash."""
     return F.when(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(2)) == 0, "primary").otherwise("baseline")

@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Most moved units whose sign patterns are enumerated in SQL: 2**14 patterns.
 EXACT_UNITS = 14
@@ -298,10 +299,28 @@ def pass_hat_k(n: Column, c: Column, k: Column) -> Column:
     return F.when((k >= 1) & (k <= n) & (n > 0), hit)
 
 
-def reliability(rows: DataFrame, by: Sequence[str], most: int, rate: str = "rate") -> DataFrame:
-    """REL3: n, c and both figures for every k up to n (at most `most`); a run passes at rate 1, invalid rates are dropped."""
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+def _curve(n: pd.Series, c: pd.Series) -> pd.Series:
+    """Both figures for k = 1 to n, each from the one before by a factor, so a curve costs its own length."""
+
+    def one(n: int, c: int) -> list[list[float]]:
+        i = np.arange(n)
+        miss, hit = (np.cumprod(np.maximum(good - i, 0) / (n - i)) for good in (n - c, c))
+        return np.stack([1 - miss, hit], 1).tolist()
+
+    return pd.Series([one(int(a), int(b)) for a, b in zip(n, c)], dtype="object")
+
+
+def reliability(rows: DataFrame, by: Sequence[str], most: int | None = None, rate: str = "rate") -> DataFrame:
+    """REL3: n, c and both figures for every k up to n (or `most`); a run passes at rate 1, invalid rates are dropped.
+
+    A curve is made for each pair of n and c that occurs and joined back to the groups that have it.
+    """
     good = rows.filter(F.col(rate).isNotNull() & ~F.isnan(rate) & F.col(rate).between(0, 1))
     counted = good.groupBy(*by).agg(F.count("*").cast("int").alias("n"), F.count_if(F.col(rate) == 1).cast("int").alias("c"))
-    each = counted.withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(most)))))
-    n, c, k = F.col("n"), F.col("c"), F.col("k")
-    return each.withColumn("pass_at_k", F.round(pass_at_k(n, c, k), 6)).withColumn("pass_hat_k", F.round(pass_hat_k(n, c, k), 6))
+    curves = counted.select("n", "c").distinct().withColumn("curve", _curve("n", "c"))
+    points = F.col("curve") if most is None else F.slice("curve", 1, most)
+    each = curves.select("n", "c", F.posexplode(points).alias("at", "point"))
+    return counted.join(each, ["n", "c"]).select(
+        *by, "n", "c", (F.col("at") + 1).alias("k"), F.round(F.col("point")[0], 6).alias("pass_at_k"), F.round(F.col("point")[1], 6).alias("pass_hat_k")
+    )

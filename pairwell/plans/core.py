@@ -284,13 +284,13 @@ def est10(spark, sf_dir):
 
 
 REL = f"""{RUNS}, g AS (SELECT case_id, model, variant, count(*)::INT AS n, (count(*) FILTER (WHERE rate = 1))::INT AS c FROM runs WHERE {OK} GROUP BY ALL),
-e AS (SELECT *, unnest(range(1, least(n, 5) + 1))::INT AS k FROM g),
+e AS (SELECT *, unnest(range(1, n + 1))::INT AS k FROM g),
 rel AS (SELECT *, round(1 - list_product(list_transform(range(0, k), lambda i: greatest(n - c - i, 0)::DOUBLE / (n - i))), 6) AS pass_at_k,
   round(list_product(list_transform(range(0, k), lambda i: greatest(c - i, 0)::DOUBLE / (n - i))), 6) AS pass_hat_k FROM e)"""
 
 
 def rel(spark, sf_dir):
-    return estimates.reliability(runs(spark, sf_dir).filter(pairing.scorable()), ["case_id", "model", "variant"], 5)
+    return estimates.reliability(runs(spark, sf_dir).filter(pairing.scorable()), ["case_id", "model", "variant"])
 
 
 @query("rel3_reliability", f"WITH {REL} SELECT * FROM rel")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pairwell.operators import costs, literals, pairing, registry, reports
+from pairwell.operators import costs, literals, pairing, registry, reports, trees
 from pairwell.plans.core import OK, UNITS, units
 from pairwell.plans.registry import query
 from pairwell.sources.evalviews import ASSERTIONS, MEASUREMENTS, RUNS, TRACE, assertion_results, measurements, runs, table, trace
@@ -261,12 +261,15 @@ def lek1(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", either.alias("leaked"))
 
 
-@query("dig1_tree_digest", """WITH f AS (SELECT c_nationkey, 'a/' || c_mktsegment || '/' || c_custkey AS path, md5(c_name) AS sha FROM customer),
-b AS (SELECT c_nationkey, substr(sha256(path), 1, 3) AS bucket, sha256(string_agg(path || chr(10) || sha || chr(10), '' ORDER BY path, sha)) AS sha FROM f GROUP BY 1, 2)
-SELECT c_nationkey, sha256(string_agg(bucket || chr(10) || sha || chr(10), '' ORDER BY bucket)) AS tree_sha256 FROM b GROUP BY 1""")
+#: Trees of customers: one entry in eleven has a sibling whose name sorts between a folder and its contents, one nation repeats a path.
+@query("dig1_tree_digest", """WITH f AS (SELECT c_nationkey, CASE WHEN c_custkey % 11 = 0 THEN 'a-b/' || c_custkey WHEN c_nationkey = 3 AND c_custkey % 2 = 0 THEN 'a/same' ELSE 'a/' || c_mktsegment || '/' || c_custkey END AS path, c_name AS content FROM customer),
+d AS (SELECT c_nationkey, count(*) AS files, count(DISTINCT path) AS paths, sha256(string_agg(path || chr(0) || content, '' ORDER BY string_split(path, '/'))) AS sha FROM f GROUP BY 1)
+SELECT c_nationkey, files, CASE WHEN files = paths THEN sha END AS tree_sha256, CASE WHEN files > paths THEN 'repeated path' END AS problem FROM d""")
 def dig1(spark, sf_dir):
-    files = table(spark, sf_dir, "customer").select("c_nationkey", F.concat(F.lit("a/"), "c_mktsegment", F.lit("/"), F.col("c_custkey").cast("string")).alias("path"), F.md5("c_name").alias("sha"))
-    return costs.tree_digest(files, ["c_nationkey"], "path", "sha")
+    k = F.col("c_custkey").cast("string")
+    path = F.when(F.col("c_custkey") % 11 == 0, F.concat(F.lit("a-b/"), k)).when((F.col("c_nationkey") == 3) & (F.col("c_custkey") % 2 == 0), "a/same").otherwise(F.concat(F.lit("a/"), "c_mktsegment", F.lit("/"), k))
+    files = table(spark, sf_dir, "customer").select("c_nationkey", path.alias("path"), F.col("c_name").alias("content"))
+    return trees.tree_digest(files, ["c_nationkey"], "path", "content")
 
 
 @query("cmp2_winners", "SELECT CASE WHEN c_custkey % 4 = 0 THEN 'tie' WHEN c_custkey % 4 = 3 THEN 'unknown' WHEN (c_custkey % 4 = 1) = (c_nationkey % 2 = 0) THEN 'primary' ELSE 'baseline' END AS outcome, count(*) AS n FROM customer GROUP BY 1")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -131,7 +132,7 @@ class _RunWriter(DataSourceWriter):
             if not row.run or not row.path or row.path == MARKER or ".." in f"{row.run}/{row.path}".split("/"):
                 raise ValueError(f"not a place in a run folder: {row.run!r}, {row.path!r}")
             target = f"{top}/{row.run}/{row.path}"
-            content, attempt = bytes(row.content or b""), f"{target}.{id(rows):x}.part"
+            content, attempt = bytes(row.content or b""), f"{target}.{uuid.uuid4().hex}.part"
             system.create_dir(target.rpartition("/")[0], recursive=True)
             with system.open_output_stream(attempt) as out:
                 out.write(content)
