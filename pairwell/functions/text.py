@@ -6,25 +6,14 @@ import difflib
 import json
 import math
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: The code points that the rendered view drops.
-ZERO_WIDTH = ("​", "⁠", "﻿")
-
-
-def rendered(text: Column) -> Column:
-    """Drops zero-width signs. NFC needs `nfc`; this form is for text that is composed already."""
-    return F.translate(text, "".join(ZERO_WIDTH), "")
-
-
-def folded(text: Column) -> Column:
-    """Caseless form: lower case, with ß as ss (our stand-in for full case folding in SQL)."""
-    return F.replace(F.lower(rendered(text)), F.lit("ß"), F.lit("ss"))
-
+from pairwell.functions.view import fold_of, folded, rendered
 
 @F.pandas_udf(T.StringType())
 def nfc(texts: pd.Series) -> pd.Series:
@@ -34,8 +23,7 @@ def nfc(texts: pd.Series) -> pd.Series:
 @F.pandas_udf(T.StringType())
 def casefold(texts: pd.Series) -> pd.Series:
     """Exact case folding of the composed rendered view."""
-    drop = dict.fromkeys(map(ord, ZERO_WIDTH))
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t.translate(drop)).casefold())
+    return texts.map(lambda t: None if t is None else fold_of(t))
 
 
 def contains(text: Column, value: Column) -> Column:
@@ -43,19 +31,23 @@ def contains(text: Column, value: Column) -> Column:
     return F.contains(folded(text), folded(value))
 
 
+def _has(text: Column, value: str) -> Column:
+    return F.contains(folded(text), F.lit(fold_of(value)))
+
+
 def contains_any(text: Column, values: list[str]) -> Column:
     """TXT2."""
-    return F.exists(F.array(*map(F.lit, values)), lambda v: contains(text, v))
+    return reduce(lambda a, b: a | b, (_has(text, v) for v in values), F.lit(False))
 
 
 def missing(text: Column, values: list[str]) -> Column:
     """TXT3's evidence: the values that are not in the text."""
-    return F.filter(F.array(*map(F.lit, values)), lambda v: ~contains(text, v))
+    return F.array_compact(F.array(*(F.when(~_has(text, v), v) for v in values)))
 
 
 def contains_all(text: Column, values: list[str]) -> Column:
     """TXT3."""
-    return F.forall(F.array(*map(F.lit, values)), lambda v: contains(text, v))
+    return reduce(lambda a, b: a & b, (_has(text, v) for v in values), F.lit(True))
 
 
 def excludes_any(text: Column, values: list[str]) -> Column:

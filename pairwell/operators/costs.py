@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pairwell.functions.text import folded
+from pairwell.functions.view import folded
 
 
 def lift_per(lift: Column, denominator: Column, unit: float = 1.0) -> tuple[Column, Column]:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from pairwell.functions.text import ZERO_WIDTH
+from pairwell.functions.view import ZERO_WIDTH
 
 #: Characters of literals that are sent to the workers at once.
 MOST_CHARS = 4 << 20

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairwell.functions import text as tx
+from pairwell.functions import view
 from pairwell.operators import traces
 from pairwell.plans.registry import query
 from pairwell.sources.evalviews import TRACE, table, trace
 
-FOLD = "replace(lower(replace(replace(replace(text, chr(8203), ''), chr(8288), ''), chr(65279), '')), 'ß', 'ss')"
+FOLD = "replace(lower(nfc_normalize(replace(replace(replace(text, chr(8203), ''), chr(8288), ''), chr(65279), ''))), 'ß', 'ss')"
 
 
 def docs(spark, sf_dir):
@@ -65,9 +66,28 @@ def txt7(spark, sf_dir):
     return e.join(following, "vec_id").select("vec_id", tx.cosine(F.col("embedding"), F.col("other")).alias("score"))
 
 
-@query("txt8_normalization", "SELECT doc_id, CAST(length(text) - length(replace(text, chr(8203), '')) AS INT) AS removed, CAST(length(text) - length(replace(text, chr(65279), '')) AS INT) AS bom FROM documents")
+#: Texts with signs planted by id: a zero-width space behind the fifth character, a word joiner and a byte order mark in front, a decomposed letter at the end.
+PLANTED = """CASE doc_id % 4 WHEN 0 THEN concat(substr(text, 1, 5), chr(8203), substr(text, 6)) WHEN 1 THEN concat(chr(8288), chr(65279), text) WHEN 2 THEN concat(text, 'e', chr(769)) ELSE text END"""
+SPARK_PLANTED = PLANTED.replace("chr(8203)", "'\u200b'").replace("chr(8288)", "'\u2060'").replace("chr(65279)", "'\ufeff'").replace("chr(769)", "'\u0301'")
+
+
+@query("txt8_normalization", f"""WITH p AS (SELECT doc_id, {PLANTED} AS t FROM documents), s AS (SELECT *, replace(replace(replace(t, chr(8203), ''), chr(8288), ''), chr(65279), '') AS u FROM p)
+SELECT doc_id, nfc_normalize(u) <> t AS changed, nfc_normalize(u) <> u AS canonical_normalized, (length(t) - length(replace(t, chr(8203), '')))::INT AS spaces, (length(t) - length(replace(t, chr(8288), '')))::INT AS joiners,
+  (length(t) - length(replace(t, chr(65279), '')))::INT AS marks, CASE doc_id % 4 WHEN 0 THEN (strpos(t, chr(8203)) - 1)::VARCHAR WHEN 1 THEN '0,1' ELSE '' END AS removed_at FROM s""")
 def txt8(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", tx.removed(F.col("text"), "​").alias("removed"), tx.removed(F.col("text"), "﻿").alias("bom"))
+    found = docs(spark, sf_dir).select("doc_id", view.normalization(F.expr(SPARK_PLANTED)).alias("n"))
+    count = lambda code, name: F.coalesce(F.col("n.removed")[code], F.lit(0)).alias(name)
+    return found.select(
+        "doc_id", "n.changed", "n.canonical_normalized", count("U+200B", "spaces"), count("U+2060", "joiners"), count("U+FEFF", "marks"), F.array_join("n.removed_at", ",").alias("removed_at")
+    )
+
+
+@query("txt8_positions", f"""WITH p AS (SELECT doc_id, {PLANTED} AS t FROM documents), f AS (SELECT *, strpos(lower(replace(replace(replace(t, chr(8203), ''), chr(8288), ''), chr(65279), '')), 'and the ') - 1 AS hit FROM p WHERE NOT contains(t, 'ß'))
+SELECT doc_id, CASE WHEN hit >= 0 THEN hit + CASE WHEN doc_id % 4 = 1 THEN 2 WHEN doc_id % 4 = 0 AND hit >= 5 THEN 1 ELSE 0 END END::INT AS start,
+  CASE WHEN hit >= 0 THEN hit + 8 + CASE WHEN doc_id % 4 = 1 THEN 2 WHEN doc_id % 4 = 0 AND hit + 8 > 5 THEN 1 ELSE 0 END END::INT AS stop FROM f""")
+def txt8_positions(spark, sf_dir):
+    texts = docs(spark, sf_dir).select("doc_id", F.expr(SPARK_PLANTED).alias("t")).filter(~F.contains("t", F.lit("ß")))
+    return texts.select("doc_id", view.located(F.col("t"), "And the ").alias("s")).select("doc_id", "s.start", F.col("s.end").alias("stop"))
 
 
 @query("txt9_golden", r"""SELECT a.doc_id, a.text = b.text AS exact, trim(a.text, ' ') = trim(b.text, ' ') AS trimmed,
