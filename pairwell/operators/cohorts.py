@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairwell.operators.percentiles import exact_percentiles
+
 
 def state(observed: Column, unavailable: Column, not_applicable: Column) -> Column:
     """AGG1: empty, not_applicable, partial or complete, from the three counts."""
@@ -99,17 +101,18 @@ def mean_rate(rows: DataFrame, by: Sequence[str], scorable: Column, rate: str =
 
 
 def variant_summary(rows: DataFrame, scorable: Column, metrics: Sequence[str]) -> DataFrame:
-    """AGG9: per variant, n, mean rate, mean, median and 90th percentile of metrics; errors stay disclosed."""
+    """AGG9: per variant, n, mean rate, mean, median and 90th percentile of metrics; errors stay disclosed. Percentiles are exact, by selection."""
     ok = scorable
     aggregates = [F.count_if(ok).alias("n"), F.count_if(~ok).alias("execution_errors"), F.avg(F.when(ok, F.col("rate"))).alias("mean_rate")]
+    aggregates += [F.round(F.avg(F.when(ok, F.col(m)).cast("double")), 6).alias(f"{m}_mean") for m in metrics]
+    found = rows.groupBy("variant").agg(*aggregates)
     for m in metrics:
-        value = F.when(ok, F.col(m)).cast("double")
-        aggregates += [
-            F.round(F.avg(value), 6).alias(f"{m}_mean"),
-            F.round(F.median(value), 6).alias(f"{m}_median"),
-            F.round(F.percentile(value, F.lit(0.9)), 6).alias(f"{m}_p90"),
-        ]
-    return rows.groupBy("variant").agg(*aggregates)
+        names = {f"{m}_median": 0.5, f"{m}_p90": 0.9}
+        told = exact_percentiles(rows.filter(ok), ["variant"], m, names)
+        told = told.select(F.col("variant").alias("__variant"), *(F.round(c, 6).alias(c) for c in names))
+        found = found.join(told, F.col("variant").eqNullSafe(F.col("__variant")), "left").drop("__variant")
+    order = ["variant", "n", "execution_errors", "mean_rate", *(f"{m}_{x}" for m in metrics for x in ("mean", "median", "p90"))]
+    return found.select(*order)
 
 
 def run_endings(rows: DataFrame, ending: str, by: str = "variant") -> DataFrame:

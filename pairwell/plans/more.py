@@ -259,6 +259,13 @@ def fnd4(spark, sf_dir):
     return registry.unknown_tokens(tokens.union(spark.sql("SELECT 'required'")))
 
 
+@query("fnd4_gate_policy", f"""WITH {FINDINGS} SELECT kind, severity, count(*) AS n, 'fail-on:contamination,strict-judge,required,missing-success-goals' AS policy FROM findings WHERE severity = 'required'
+  OR kind IN ('canary-hit', 'output-answer-overlap', 'released-before-cutoff', 'judge-is-model-under-test', 'missing-success-goals') GROUP BY 1, 2""")
+def fnd4_policy(spark, sf_dir):
+    failing = registry.gated(findings(spark, sf_dir), ["contamination, strict-judge,", "required", "missing-success-goals"])
+    return failing.groupBy("kind", "severity", "policy").agg(F.count("*").alias("n")).select("kind", "severity", "n", "policy")
+
+
 @query("fnd6_coverage_audit", "SELECT c_mktsegment, count(*) AS n, concat_ws(',', CASE WHEN count(*) FILTER (WHERE c_nationkey = 3) < 10 THEN 'thin_split' END, CASE WHEN count(DISTINCT c_nationkey) < 25 THEN 'missing_taxonomy' END) AS gaps FROM customer GROUP BY 1")
 def fnd6(spark, sf_dir):
     gaps = F.concat_ws(",", F.when(F.count_if(F.col("c_nationkey") == 3) < 10, "thin_split"), F.when(F.countDistinct("c_nationkey") < 25, "missing_taxonomy"))
