@@ -30,7 +30,7 @@ def case_evidence(pairs: DataFrame, expected: Column, alpha: float = 0.05) -> Da
     told = pairs.groupBy(*by).agg(
         F.count_if(good).alias("pairs"), F.count_if(~good).alias("blocked"), F.count_if(good & F.col("flipped")).alias("flips"), expected.alias("expected")
     )
-    tested = sign_flip(pairs.filter(good), by, "drop").select(*by, F.col("mean").alias("mean_drop"), "p_value")
+    tested = sign_flip(pairs.filter(good), by, "drop", ends=False).select(*by, F.col("mean").alias("mean_drop"), "p_value")
     observed = F.coalesce((F.col("flips") > 0) & (F.col("mean_drop") > 0), F.lit(False))
     covered = (F.col("blocked") == 0) & (F.col("pairs") >= F.col("expected"))
     return told.join(tested, by, "left").withColumns(

@@ -229,8 +229,8 @@ def cases_needed(alpha: float) -> int:
 ESTIMATE = "units long, mean double, p_value double, low double, high double, bounded boolean"
 
 
-def sign_flip(units: DataFrame, by: Sequence[str], delta: str = "delta") -> DataFrame:
-    """EST9: test and interval of each group from one set of deltas.
+def sign_flip(units: DataFrame, by: Sequence[str], delta: str = "delta", ends: bool = True) -> DataFrame:
+    """EST9: test and interval of each group from one set of deltas; without `ends` the test alone, and no interval is sought.
 
     Equal deltas are counted where they are, so a group sends a row per distinct
     delta, not per unit. Groups of nothing but nulls give no row.
@@ -241,7 +241,7 @@ def sign_flip(units: DataFrame, by: Sequence[str], delta: str = "delta") -> Data
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(delta)
         values, counts = pdf[delta].to_numpy(dtype=float), pdf[times].to_numpy(dtype=np.int64)
-        low, high, bounded = weighted_interval(values, counts)
+        low, high, bounded = weighted_interval(values, counts) if ends else (None, None, False)
         patterns = sign_patterns(values, counts, shifts=False)
         row = (*key, patterns.n, patterns.whole / patterns.n, patterns.p(), low, high, bounded)
         return pd.DataFrame([row], columns=[*by, "units", "mean", "p_value", "low", "high", "bounded"])

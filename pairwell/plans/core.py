@@ -216,7 +216,7 @@ w AS (SELECT model, count(*) AS units, abs(sum(step)) AS whole FROM d GROUP BY 1
 SELECT w.model, w.units, round(sum(dp.p) FILTER (WHERE abs(dp.s) >= whole), 9) AS p_value FROM w JOIN dp ON dp.model = w.model AND dp.i = w.units GROUP BY 1, 2""")
 def est3(spark, sf_dir):
     quarters = units(spark, sf_dir).select("model", (F.round(F.col("delta") * 4) / 4).alias("delta"))
-    return estimates.sign_flip(quarters, ["model"]).select("model", "units", F.round("p_value", 9).alias("p_value"))
+    return estimates.sign_flip(quarters, ["model"], ends=False).select("model", "units", F.round("p_value", 9).alias("p_value"))
 
 
 def signs_sql(before: str, source: str, by: str) -> str:

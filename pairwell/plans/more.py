@@ -110,15 +110,15 @@ def src14(spark, sf_dir):
 SELECT suite, 1 AS place, '<testcase name="' || n_name || CASE WHEN failed THEN '"><failure/></testcase>' ELSE '"/>' END AS line FROM n
 UNION ALL SELECT suite, 0, '<testsuite name="' || suite || '" tests="' || count(*) || '" failures="' || count(*) FILTER (WHERE failed) || '">' FROM n GROUP BY 1 UNION ALL SELECT DISTINCT suite, 2, '</testsuite>' FROM n""")
 def snk2(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return filters.junit(n, F.col("r_name"), F.col("n_name"), F.col("n_nationkey") % 3 == 0)
 
 
-@query("agg8_by_variant", f"WITH {RUNS} SELECT case_id, variant, count(*) AS n, string_agg(CAST(run_number AS VARCHAR), ',' ORDER BY run_number) FILTER (WHERE run_number <= 5) AS first_runs FROM runs WHERE {OK} GROUP BY 1, 2")
+@query("agg8_by_variant", f"WITH {RUNS} SELECT case_id, variant, model, run_number, count(*) OVER (PARTITION BY case_id, variant) AS n FROM runs WHERE {OK}")
 def agg8(spark, sf_dir):
-    g = runs(spark, sf_dir).filter(pairing.scorable()).groupBy("case_id", "variant")
-    first = F.array_sort(F.collect_list(F.when(F.col("run_number") <= 5, F.col("run_number"))))
-    return g.agg(F.count("*").alias("n"), F.array_join(first.cast("array<string>"), ",").alias("first_runs"))
+    ok = runs(spark, sf_dir).filter(pairing.scorable())
+    sizes = ok.groupBy("case_id", "variant").agg(F.count("*").alias("n"))
+    return ok.join(sizes, ["case_id", "variant"]).select("case_id", "variant", "model", "run_number", "n")
 
 
 @query("agg11_oracle_strength", "SELECT l_suppkey, round(count(*) FILTER (WHERE l_returnflag = 'R' AND l_quantity > 10) / nullif(count(*) FILTER (WHERE l_quantity > 10), 0), 6) AS strong_share FROM lineitem GROUP BY 1")
