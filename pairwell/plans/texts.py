@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pairwell.functions import diff, view
 from pairwell.functions import text as tx
-from pairwell.functions import view
 from pairwell.operators import traces
 from pairwell.plans.registry import query
 from pairwell.sources.evalviews import TRACE, table, trace
@@ -100,6 +100,19 @@ def txt9(spark, sf_dir):
     return d.join(following, "doc_id").select("doc_id", tx.golden(t, o, "exact").alias("exact"), tx.golden(t, o, "trim").alias("trimmed"), tx.golden(t, o, "text").alias("same_text"))
 
 
+#: Whole texts against themselves with a first line gone, one put before, one replaced: scripts of a known length, whatever else the text holds.
+@query("txt9_diff", """SELECT doc_id, CASE WHEN doc_id % 4 IN (1, 2) THEN 1 ELSE 0 END AS removed, CASE WHEN doc_id % 4 IN (0, 2) AND text <> '' THEN 1 ELSE 0 END AS added,
+  CASE WHEN doc_id % 4 = 3 OR doc_id % 4 = 0 AND text = '' THEN 0 ELSE 1 END AS hunks, CASE doc_id % 4 WHEN 0 THEN CASE WHEN text <> '' THEN '+' || string_split(text, chr(10))[1] END ELSE CASE WHEN doc_id % 4 < 3 THEN '-<<put here>>' END END AS first_edit FROM documents""")
+def txt9_diff(spark, sf_dir):
+    text, end = F.col("text"), F.instr(F.col("text"), F.lit("\n"))
+    rest = F.when(end > 0, F.substr(text, end)).otherwise("")
+    k = F.col("doc_id") % 4
+    edited = F.when(k == 0, F.substr(rest, F.lit(2))).when(k == 1, F.concat(F.lit("<<put here>>\n"), text)).when(k == 2, F.concat(F.lit("<<put here>>"), rest)).otherwise(text)
+    found = docs(spark, sf_dir).select("doc_id", diff.difference(edited, text).alias("d"))
+    first = F.get(F.filter(F.split("d.diff", "\n"), lambda line: F.substr(line, F.lit(1), F.lit(1)).isin("-", "+")), 0)
+    return found.select("doc_id", "d.removed", "d.added", "d.hunks", first.alias("first_edit"))
+
+
 @query("txt10_json_field", "SELECT event_id, coalesce(json_extract_string(props, '$.k') = '7', false) AS passed FROM events")
 def txt10(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", tx.json_field_equals(F.col("props"), "$.k", "7").alias("passed"))
