@@ -85,12 +85,11 @@ def containment(outputs: DataFrame, answers: DataFrame, n: int, output_id: str,
 
 
 def period(text: Column, end: bool) -> Column:
-    """CON3: a partial date as yyyymmdd, at its period's end or start; null if it cannot be read."""
-    y = F.regexp_extract(text, r"^(\d{4})(?:-(\d{2}))?(?:-(\d{2}))?$", 1)
-    m, d = (F.regexp_extract(text, r"^(\d{4})(?:-(\d{2}))?(?:-(\d{2}))?$", i) for i in (2, 3))
-    fill = ("12", "31") if end else ("01", "01")
-    full = F.concat(y, F.when(m == "", fill[0]).otherwise(m), F.when(d == "", fill[1]).otherwise(d))
-    return F.when(y != "", full.cast("int"))
+    """CON3: a partial date as yyyymmdd, at its period's end or start; null if it cannot be read or is no day of the calendar."""
+    y, m, d = (F.regexp_extract(text, r"^(\d{4})(?:-(\d{2})(?:-(\d{2}))?)?$", i) for i in (1, 2, 3))
+    first = F.try_to_date(F.concat_ws("-", y, F.when(m == "", "12" if end else "01").otherwise(m), F.when(d == "", "01").otherwise(d)), "yyyy-MM-dd")
+    day = F.when(d == "", F.last_day(first)).otherwise(first) if end else first
+    return F.when(y != "", F.date_format(day, "yyyyMMdd").cast("int"))
 
 
 def before_cutoff(released: Column, cutoff: Column) -> Column:

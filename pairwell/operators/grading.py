@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,8 +53,10 @@ def skip_dependents(results: DataFrame, needs: DataFrame, run: str = "run_id") -
 
 
 def judge_task_id(case: Column, model: Column, variant: Column, run: Column, name: Column) -> Column:
-    """GRD9: parts joined by `::`, a null model left out."""
-    return F.concat_ws("::", case, model, variant, F.concat(F.lit("run-"), run.cast("string")), name)
+    """GRD9: parts joined by `::`, a null model left out; null where a part holds the joint itself, for two tasks could then have one id."""
+    joint = F.lit("::")
+    odd = reduce(lambda a, b: a | b, (F.coalesce(F.contains(p, joint), F.lit(False)) for p in (case, model, variant, name)))
+    return F.when(~odd, F.concat_ws("::", case, model, variant, F.concat(F.lit("run-"), run.cast("string")), name))
 
 
 def merge_verdicts(tasks: DataFrame, verdicts: DataFrame) -> DataFrame:

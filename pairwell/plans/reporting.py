@@ -239,11 +239,11 @@ def con2(spark, sf_dir):
 
 
 @query("con3_cutoff", """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN year(o_orderdate) * 10000 + 101 WHEN 1 THEN year(o_orderdate) * 10000 + month(o_orderdate) * 100 + 1
-  ELSE year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate) END <= 19950631 AND o_orderkey % 10 > 0 AS flagged FROM orders""")
+  ELSE year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate) END <= 19950630 AND o_orderkey % 10 > 1 AS flagged FROM orders""")
 def con3(spark, sf_dir):
     day = F.col("o_orderdate")
     text = F.when(F.col("o_orderkey") % 3 == 0, F.date_format(day, "yyyy")).when(F.col("o_orderkey") % 3 == 1, F.date_format(day, "yyyy-MM")).otherwise(F.date_format(day, "yyyy-MM-dd"))
-    text = F.when(F.col("o_orderkey") % 10 == 0, "soon").otherwise(text)
+    text = F.when(F.col("o_orderkey") % 10 == 0, "soon").when(F.col("o_orderkey") % 10 == 1, "1995-02-31").otherwise(text)
     return table(spark, sf_dir, "orders").select("o_orderkey", costs.before_cutoff(text, F.lit("1995-06")).alias("flagged"))
 
 

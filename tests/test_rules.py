@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairwell.functions import text as tx
-from pairwell.operators import contracts, filters, measures, models, traces, triggers
+from pairwell.operators import contracts, costs, filters, grading, measures, models, traces, triggers
 
 
 def test_numbers_out_of_range_are_refused_not_fatal(spark):
@@ -88,3 +88,16 @@ def test_model_ids_are_parsed(spark):
     assert [(r.m.family, r.m.version, r.m.snapshot, r.m.latest) for r in got] == [
         ("sonnet", [4, 5], "20250929", False), ("haiku", [3, 5], None, True), ("sonnet", [4], None, False), (None, None, None, False), ("opus", [4, 1], "20250805", False),
     ]
+
+
+def test_dates_are_of_the_calendar(spark):
+    rows = ["2024-02-29", "2023-02-29", "2024-02-31", "2024-13", "2024-00", "2024", "2024-02", "24", "2024-1-1", "2024-04-31", None]
+    got = spark.createDataFrame([(r,) for r in rows], "t string").coalesce(1).select(costs.period(F.col("t"), False).alias("a"), costs.period(F.col("t"), True).alias("b")).collect()
+    none = (None, None)
+    assert [r[:] for r in got] == [(20240229, 20240229), none, none, none, none, (20240101, 20241231), (20240201, 20240229), none, none, none, none]
+
+
+def test_task_ids_refuse_the_joint_in_a_part(spark):
+    df = spark.createDataFrame([("c", None, "n"), ("c::d", "m", "n"), ("c", "m", "a:b")], "c string, m string, n string").coalesce(1)
+    got = [r[0] for r in df.select(grading.judge_task_id(F.col("c"), F.col("m"), F.lit("v"), F.lit(1), F.col("n"))).collect()]
+    assert got == ["c::v::run-1::n", None, "c::m::v::run-1::a:b"]
