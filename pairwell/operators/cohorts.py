@@ -143,3 +143,20 @@ def trigger_matrix(rows: DataFrame) -> DataFrame:
         F.count_if(seen).alias("measured"),
         F.count_if(seen & passed).alias("passed"),
     )
+
+
+def slices(units: DataFrame, single: Sequence[str], several: Sequence[str] = (), delta: str = "delta") -> DataFrame:
+    """AGG10: of each value of each kind of slice the units, their mean delta, and its share of the mean over all units.
+
+    single: columns with one value a unit; several: arrays, of which a unit counts once for each distinct value. A null is
+    the value `unspecified`; an empty array belongs to no slice. A unit is exploded to its values and pre-aggregated where it is.
+    """
+    entry = lambda kind, value: F.struct(F.lit(kind).alias("kind"), F.coalesce(value.cast("string"), F.lit("unspecified")).alias("value"))
+    own = F.array(*(entry(c, F.col(c)) for c in single))
+    values = lambda kind: F.array_distinct(F.coalesce(F.col(kind), F.array(F.lit(None).cast("string"))))
+    entries = lambda kind: F.transform(values(kind), lambda value: entry(kind, value))
+    lists = [entries(kind) for kind in several]
+    each = units.select(F.col(delta).alias("__delta"), F.explode(F.concat(own, *lists)).alias("slice"))
+    told = each.groupBy("slice.kind", "slice.value").agg(F.count("*").alias("units"), F.round(F.avg("__delta"), 9).alias("lift"))
+    whole = units.agg(F.round(F.avg(delta), 9).alias("__whole"))  # one row
+    return told.join(whole).select("kind", "value", "units", "lift", F.round(F.try_divide("lift", "__whole"), 6).alias("lift_concentration"))

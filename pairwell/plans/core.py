@@ -139,19 +139,20 @@ def agg9(spark, sf_dir):
     return cohorts.variant_summary(runs(spark, sf_dir), pairing.scorable(), ["k"])
 
 
-@query("agg10_slices", f"""WITH {UNITS}, s AS (SELECT *, CAST(substr(case_id, 2) AS INT) % 4 AS domain, CAST(substr(case_id, 2) AS INT) % 3 AS difficulty FROM units)
-SELECT CAST(domain AS VARCHAR) AS domain, CAST(difficulty AS VARCHAR) AS difficulty, count(*) AS units, round(avg(delta), 9) AS lift,
-  round(round(avg(delta), 9) / (SELECT round(avg(delta), 9) FROM s), 6) AS lift_concentration FROM s GROUP BY GROUPING SETS ((domain), (difficulty))""")
+#: Attributes of a case: two plain ones, a trigger type that some lack, and goals of which a case has none, one or two.
+@query("agg10_slices", f"""WITH {UNITS}, n AS (SELECT *, CAST(substr(case_id, 2) AS INT) AS n FROM units), s AS (
+  SELECT delta, 'domain' AS kind, CAST(n % 4 AS VARCHAR) AS value FROM n UNION ALL SELECT delta, 'difficulty', CAST(n % 3 AS VARCHAR) FROM n
+  UNION ALL SELECT delta, 'trigger_type', CASE n % 3 WHEN 0 THEN 'explicit' WHEN 1 THEN 'implicit' ELSE 'unspecified' END FROM n
+  UNION ALL SELECT delta, 'success_goals', 'g' || (n % 5) FROM n WHERE n % 7 > 0 UNION ALL SELECT delta, 'success_goals', 'g' || (n % 2) FROM n WHERE n % 7 > 0 AND n % 5 <> n % 2)
+SELECT kind, value, count(*) AS units, round(avg(delta), 9) AS lift, round(round(avg(delta), 9) / (SELECT round(avg(delta), 9) FROM n), 6) AS lift_concentration FROM s GROUP BY 1, 2""")
 def agg10(spark, sf_dir):
     n = F.substring("case_id", 2, 9).cast("int")
-    s = units(spark, sf_dir).withColumn("domain", (n % 4).cast("string")).withColumn("difficulty", (n % 3).cast("string"))
-    whole = s.agg(F.round(F.avg("delta"), 9).alias("whole"))
-    sliced = s.groupingSets([[F.col("domain")], [F.col("difficulty")]], F.col("domain"), F.col("difficulty")).agg(
-        F.count("*").alias("units"), F.round(F.avg("delta"), 9).alias("lift")
-    )
-    return sliced.crossJoin(F.broadcast(whole)).select(
-        "domain", "difficulty", "units", "lift", F.round(F.col("lift") / F.col("whole"), 6).alias("lift_concentration")
-    )
+    goal = lambda k: F.concat(F.lit("g"), (n % k).cast("string"))
+    s = units(spark, sf_dir).withColumns({
+        "domain": n % 4, "difficulty": n % 3, "trigger_type": F.when(n % 3 == 0, "explicit").when(n % 3 == 1, "implicit"),
+        "success_goals": F.when(n % 7 > 0, F.array(goal(5), goal(2))).otherwise(F.array().cast("array<string>")),
+    })
+    return cohorts.slices(s, ["domain", "difficulty", "trigger_type"], ["success_goals"])
 
 
 @query("agg12_run_endings", f"WITH {RUNS} SELECT variant, coalesce(effort, 'unrecorded') AS ending, count(*) AS runs FROM runs GROUP BY 1, 2")

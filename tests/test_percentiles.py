@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairwell.operators import registry
+from pairwell.operators import cohorts, registry
 from pairwell.operators.percentiles import exact_percentiles
 
 
@@ -35,3 +35,13 @@ def test_policies(spark):
     df = spark.createDataFrame([("canary-hit", "required"), ("floor-eval", "recommended"), ("x", None)], "kind string, severity string")
     assert [r.kind for r in registry.gated(df, ["contamination"]).collect()] == ["canary-hit"]
     assert registry.gated(df, ["recommended"]).agg(F.max("policy")).first()[0] == "fail-on:recommended"
+
+
+def test_slices_of_several_values(spark):
+    rows = [(1.0, "a", ["x", "y", "x"]), (0.0, None, ["x"]), (0.5, "a", []), (None, "b", None)]
+    df = spark.createDataFrame(rows, "delta double, d string, goals array<string>")
+    got = {(r.kind, r.value): (r.units, r.lift, r.lift_concentration) for r in cohorts.slices(df, ["d"], ["goals"]).collect()}
+    assert got == {
+        ("d", "a"): (2, 0.75, 1.5), ("d", "unspecified"): (1, 0.0, 0.0), ("d", "b"): (1, None, None),
+        ("goals", "x"): (2, 0.5, 1.0), ("goals", "y"): (1, 1.0, 2.0), ("goals", "unspecified"): (1, None, None),
+    }
