@@ -346,6 +346,10 @@ def pieces(path: str) -> Pieces:
     return _loaded[path]
 
 
+#: Bytes of text that are encoded together: more of them share words and arrays, at 40 times their size of memory.
+BATCH_BYTES = 3 << 20
+
+
 def encode(docs: DataFrame, model: str, dropout: float = DROPOUT, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (little-endian u32 bytes) and the text's sha256."""
     source = docs.select(
@@ -355,7 +359,7 @@ def encode(docs: DataFrame, model: str, dropout: float = DROPOUT, seed: int = SE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(model)
-        for batch in text_batches(batches, "text", 1 << 20):
+        for batch in text_batches(batches, "text", BATCH_BYTES):
             rows = zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())
             ids = own.encode_batch([(-1 if i is None else i, text) for i, text in rows], dropout, seed)
             yield record_batch([batch.column("doc_id"), batch.column("text_sha256"), ids], out)
