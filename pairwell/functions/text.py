@@ -204,6 +204,19 @@ def redact(text: Column, secrets: list[str]) -> Column:
     return text
 
 
+def redact_json(text: Column, secrets: list[str]) -> Column:
+    """FLT9: secrets inside the strings and keys of a JSON text, at every depth; numbers and structure stay.
+
+    The text is brought to canonical escapes first, so no escape hides a secret, and secrets are escaped the same way.
+    What is no JSON is redacted as plain text. Keys that a redaction makes equal are all kept.
+    """
+    value = F.try_parse_json(text)
+    parts = F.regexp_extract_all(F.to_json(value), F.lit(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^"]++'), F.lit(0))
+    escaped = [json.dumps(s, ensure_ascii=False)[1:-1] for s in secrets]
+    done = F.array_join(F.transform(parts, lambda x: F.when(F.startswith(x, F.lit('"')), redact(x, escaped)).otherwise(x)), "")
+    return F.when(value.isNull(), redact(text, secrets)).otherwise(done)
+
+
 def script_score(stdout: Column) -> Column:
     """TXT13: score / max_score of a recorded score line; null if it has none or is out of range."""
     score, most = (F.get_json_object(stdout, f"$.{k}").try_cast("double") for k in ("score", "max_score"))
