@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,17 +70,28 @@ def ngrams(text: Column, n: int) -> Column:
     return F.element_at(F.transform(F.array(F.transform(words(text), lambda w: F.xxhash64(w))), grams), 1)
 
 
-def containment(outputs: DataFrame, answers: DataFrame, n: int, output_id: str, answer_id: str, least: float) -> DataFrame:
-    """CON2 at scale: share of an answer's n-grams found in an output, as one equi-join of hashed shingles.
+#: Grams of answers that are broadcast at once (24 bytes each and their ids), and how often the outputs are read for them at most.
+BLOCK_GRAMS, MOST_BLOCKS = 1 << 20, 4
 
-    Pairs without a shared n-gram have containment 0 and are not listed. Answers
-    are the smaller side; a shingle that many outputs share costs a row for
-    each answer that has it, never a pair of outputs.
+
+def containment(outputs: DataFrame, answers: DataFrame, n: int, output_id: str, answer_id: str, least: float, block_grams: int = BLOCK_GRAMS) -> DataFrame:
+    """CON2 at scale: share of an answer's n-grams found in an output, as equi-joins of hashed shingles.
+
+    Pairs without a shared n-gram have containment 0 and are not listed. Answers are the smaller side, and are counted
+    before they are sent: up to MOST_BLOCKS blocks of block_grams rows are broadcast one after the other, so that only
+    shared grams of the outputs are ever shuffled; a larger set is joined by a shuffle of both sides. A shingle that many
+    outputs share costs a row for each answer that has it, never a pair of outputs.
     """
     a = answers.select(answer_id, F.explode(ngrams(F.col("text"), n)).alias("gram"))
-    sizes = a.groupBy(answer_id).agg(F.count("*").alias("__size"))
     o = outputs.select(output_id, F.explode(ngrams(F.col("text"), n)).alias("gram"))
-    hits = o.join(a, "gram").groupBy(output_id, answer_id).agg(F.count("*").alias("__hits"))
+    sizes = a.groupBy(answer_id).agg(F.count("*").alias("__size"))
+    blocks = max(1, -(-a.count() // block_grams))
+    if blocks > MOST_BLOCKS:
+        shared = o.join(a, "gram")
+    else:  # a block holds about block_grams rows: grams are spread by their hash
+        block = lambda i: a if blocks == 1 else a.filter(F.pmod(F.xxhash64("gram"), F.lit(blocks)) == i)
+        shared = reduce(DataFrame.unionByName, (o.join(F.broadcast(block(i)), "gram") for i in range(blocks)))
+    hits = shared.groupBy(output_id, answer_id).agg(F.count("*").alias("__hits"))
     found = hits.join(sizes, answer_id).select(output_id, answer_id, F.round(F.col("__hits") / F.col("__size"), 6).alias("containment"))
     return found.filter(F.col("containment") >= least)
 

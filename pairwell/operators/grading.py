@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairwell.operators.lineage import cut
+
 
 def assertion_state(passed: Column, skipped: Column) -> Column:
     """GRD1: skipped wins, then an unknown result is unavailable."""
@@ -34,19 +36,32 @@ def grade(results: DataFrame, run: Sequence[str] = ("run_id",), strict: bool = F
     return graded.withColumn("pass_rate", rate).withColumn("graded_score", F.when(~F.col("critical_failure"), F.col("__soft"))).drop("__soft")
 
 
+def closure(needs: DataFrame) -> DataFrame:
+    """Every name with all its direct and indirect prerequisites, a row each; ValueError on a cycle.
+
+    Each round joins the pairs found so far with themselves, so a chain of n takes log2(n) rounds, and pairs are kept
+    once however many paths lead to them. Rounds are written to the checkpoint folder, not recomputed.
+    """
+    reach = cut(needs.select("name", "prerequisite").filter("name IS NOT NULL AND prerequisite IS NOT NULL").distinct())
+    size = reach.count()
+    while True:
+        further = reach.alias("l").join(reach.alias("r"), F.col("l.prerequisite") == F.col("r.name")).select("l.name", "r.prerequisite")
+        reach = cut(reach.union(further).distinct())
+        before, size = size, reach.count()
+        if size == before:
+            break
+    if (found := reach.filter("name = prerequisite").agg(F.min("name")).first()[0]) is not None:
+        raise ValueError(f"dependency cycle through {found}")
+    return reach
+
+
 def skip_dependents(results: DataFrame, needs: DataFrame, run: str = "run_id") -> DataFrame:
     """GRD5: whoever depends, directly or not, on a failed or skipped assertion of its run is skipped.
 
-    needs: rows of name and prerequisite; a cycle is an error. One recursive query finds the fixed point.
+    needs: rows of name and prerequisite, of one suite: it is small beside results, which are joined once with its closure.
+    A cycle is an error.
     """
-    spark = results.sparkSession
-    closed = spark.sql(
-        """WITH RECURSIVE reach(name, prerequisite) AS (
-             SELECT name, prerequisite FROM {needs}
-             UNION ALL SELECT r.name, n.prerequisite FROM reach r JOIN {needs} n ON n.name = r.prerequisite)
-           SELECT DISTINCT name, prerequisite FROM reach""",
-        needs=needs,
-    )
+    closed = closure(needs)
     bad = results.filter("skipped OR NOT passed").select(run, F.col("name").alias("prerequisite"))
     hit = bad.join(closed, "prerequisite").select(run, "name").distinct().withColumn("__hit", F.lit(True))
     return results.join(hit, [run, "name"], "left").withColumn("skipped", F.coalesce("__hit", "skipped")).drop("__hit")

@@ -170,3 +170,29 @@ def test_entry_runs(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() >= 0
+
+
+def test_dependencies_over_many_paths_and_cycles(spark):
+    layers = [(f"n{i}{x}", f"n{i - 1}{y}") for i in range(1, 24) for x in "ab" for y in "ab"]  # 2 ** 23 paths
+    needs = spark.createDataFrame([*layers, ("far", "n23a"), ("alone", "root"), (None, "n0a"), ("n1a", "n0a")], "name string, prerequisite string")
+    results = spark.createDataFrame([(1, "n0a", False, False), (1, "far", True, False), (1, "alone", True, False), (2, "far", True, False)], "run_id int, name string, passed boolean, skipped boolean")
+    got = {(r.run_id, r.name): r.skipped for r in grading.skip_dependents(results, needs).collect()}
+    assert got == {(1, "n0a"): False, (1, "far"): True, (1, "alone"): False, (2, "far"): False}
+    with pytest.raises(ValueError, match="cycle through a"):
+        grading.closure(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "name string, prerequisite string"))
+    assert grading.closure(spark.createDataFrame([], "name string, prerequisite string")).count() == 0
+
+
+@pytest.mark.parametrize("block", [1 << 20, 40, 5])  # one block, several, a shuffle of both sides
+def test_containment_by_blocks_is_the_same(spark, block):
+    words = [f"w{i * i % 37}" for i in range(200)]
+    outputs = spark.createDataFrame([(i, " ".join(words[i : i + 60])) for i in range(0, 140, 7)], "o int, text string")
+    answers = spark.createDataFrame([(i, " ".join(words[i * 9 : i * 9 + 12])) for i in range(12)] + [(99, "a b"), (100, None)], "a int, text string")
+    grams = lambda t: {tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)} if t else set()
+    want = {}
+    for o in outputs.collect():
+        for a in answers.collect():
+            if (mine := grams(a.text)) and (share := len(mine & grams(o.text)) / len(mine)) >= 0.3:
+                want[o.o, a.a] = round(share, 6)
+    got = costs.containment(outputs, answers, 3, "o", "a", 0.3, block_grams=block)
+    assert {(r.o, r.a): r.containment for r in got.collect()} == want and want
