@@ -1,19 +1,32 @@
-"""Cutting the lineage of iterative operators in the folder that executors share."""
+"""The folder that executors share: cut lineages and files of a run."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df as a reliable checkpoint; the folder is the session's, and one of our own only on a local master that names none."""
-    spark = df.sparkSession
+def shared(spark: SparkSession) -> str:
+    """The folder that executors share: the session's, and one of our own only on a local master that names none."""
     context = spark.sparkContext
-    if not context.getCheckpointDir():
-        named = context.getConf().get("spark.checkpoint.dir")
-        if not named and not context.master.startswith("local"):
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='pairwell-')}")
+        named = f"file://{tempfile.mkdtemp(prefix='pairwell-')}"
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def fresh(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no other run uses."""
+    return f"{shared(spark)}/pairwell/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df as a reliable checkpoint."""
+    shared(df.sparkSession)
     return df.checkpoint()

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairwell.operators.artifacts import MARKER, artifact_states
 from pairwell.operators.traces import event_state, kind_of
 
 CASE = (
@@ -66,6 +68,27 @@ def run_files(spark: SparkSession, root: str, name: str) -> DataFrame:
     )
 
 
+#: A run's folder below the root, and a file's path in it.
+_FOLDER = r"^/?((?:[^/]+/){1,2}(?:with_skill|without_skill|old_skill|ablation:[^/]+)(?:/run-\d+)?)/(.+)$"
+
+
+def run_folder_states(spark: SparkSession, root: str, version: int = 1) -> DataFrame:
+    """SRC4, SRC5: every run folder below root with its number of files and bytes, and its state by its marker and digests.
+
+    Files are hashed where they are read; what is not below case/[model/]variant/[run-n/] belongs to no run.
+    """
+    inner = F.substring_index("path", root.split("://")[-1].rstrip("/"), -1)
+    found = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+        .select(F.regexp_extract(inner, _FOLDER, 1).alias("run"), F.regexp_extract(inner, _FOLDER, 2).alias("path"), "length", F.sha2("content", 256).alias("sha"),
+                F.when(F.endswith(inner, F.lit("/" + MARKER)), F.decode("content", "UTF-8")).alias("marker"))
+        .filter("run <> ''")
+    )
+    runs = found.groupBy("run").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.max("marker").alias("marker"), F.lit(version).alias("declared"))
+    states = artifact_states(runs.select("run", "declared", "marker"), found.select("run", "path", "sha"), "run", "declared", "marker", "path", "sha")
+    return runs.select("run", "files", "bytes").join(states, "run", "left")
+
+
 def trace_lines(files: DataFrame, dialect: str, text: str = "text") -> DataFrame:
     """SRC8: an event per JSON line with its line number; an unknown dialect is refused."""
     if dialect not in DIALECTS:
@@ -79,7 +102,16 @@ def trace_lines(files: DataFrame, dialect: str, text: str = "text") -> DataFrame
 
 
 def append_report(report: DataFrame, ordinal: int, path: str) -> None:
-    """SNK6: appends a report to the history, partitioned by ordinal."""
+    """SNK6: appends a report to the history, partitioned by ordinal; one that is there already is never written to again."""
+    spark = report.sparkSession
+    try:
+        taken = not history(spark, path).filter(F.col("ordinal") == ordinal).isEmpty()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        taken = False
+    if taken:
+        raise ValueError(f"the history has a report {ordinal}")
     report.withColumn("ordinal", F.lit(ordinal)).write.mode("append").partitionBy("ordinal").parquet(path)
 
 
@@ -93,6 +125,19 @@ def write_json(report: DataFrame, path: str) -> None:
     report.write.mode("errorifexists").json(path)
 
 
+def markdown(report: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """SNK1: a report as the lines of markdown tables, one for each value of `by`: place 0 is the head, 1 the rule, 2 the rows.
+
+    Lines of a place are ordered by their text where they are written. Bars and line ends in values are escaped; null is a dash.
+    """
+    line = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    shown = lambda c: F.coalesce(F.regexp_replace(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), r"\R", "<br>"), F.lit("-"))
+    rows = report.select(*by, F.lit(2).alias("place"), line([shown(c) for c in columns]).alias("line"))
+    top = F.explode(F.array(*(F.struct(F.lit(i).alias("place"), line([F.lit(x) for x in cells]).alias("line")) for i, cells in enumerate((columns, ["---"] * len(columns))))))
+    heads = report.select(*by).distinct() if by else report.sparkSession.range(1)
+    return heads.select(*by, top.alias("t")).select(*by, "t.place", "t.line").unionByName(rows)
+
+
 def annotations(findings: DataFrame) -> DataFrame:
     """SNK3: a warning or error line per finding."""
     level = F.when(F.col("severity").isin("error", "required"), "error").otherwise("warning")
