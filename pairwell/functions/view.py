@@ -10,11 +10,12 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairwell.functions import rows
+
 #: The code points that the rendered view drops.
 REMOVED = (0x200B, 0x2060, 0xFEFF)
 ZERO_WIDTH = tuple(map(chr, REMOVED))
@@ -39,14 +40,8 @@ def _beyond_ascii(text: Column) -> Column:
     return F.when(~_plain(text), text)
 
 
-@F.pandas_udf(T.StringType())
-def _folds(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else fold_of(t)).astype("object")
-
-
-@F.pandas_udf(T.StringType())
-def _views(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else view_of(t)).astype("object")
+_folds = rows.of_text(T.StringType(), lambda t: None if t is None else fold_of(t))
+_views = rows.of_text(T.StringType(), lambda t: None if t is None else view_of(t))
 
 
 def rendered(text: Column) -> Column:
@@ -65,19 +60,17 @@ EVIDENCE = T.StructType([
 ])
 
 
-@F.pandas_udf(EVIDENCE)
-def _evidence(texts: pd.Series) -> pd.DataFrame:
-    rows = []
-    for t in texts:
-        if t is None:
-            rows.append((False, False, {}, []))
-            continue
-        at = [m.start() for m in _DROPPED.finditer(t)]
-        counts = {f"U+{c:04X}": n for c in REMOVED if (n := t.count(chr(c)))}
-        stripped = t.translate(_DROP)
-        composed = unicodedata.normalize("NFC", stripped)
-        rows.append((composed != t, composed != stripped, counts, at))
-    return pd.DataFrame(rows, columns=["changed", "canonical_normalized", "removed", "removed_at"])
+def _evidence_of(t: str | None) -> dict:
+    if t is None:
+        return {"changed": False, "canonical_normalized": False, "removed": [], "removed_at": []}
+    at = [m.start() for m in _DROPPED.finditer(t)]
+    counts = [(f"U+{c:04X}", n) for c in REMOVED if (n := t.count(chr(c)))]
+    stripped = t.translate(_DROP)
+    composed = unicodedata.normalize("NFC", stripped)
+    return {"changed": composed != t, "canonical_normalized": composed != stripped, "removed": counts, "removed_at": at}
+
+
+_evidence = rows.of_text(EVIDENCE, _evidence_of)
 
 
 def normalization(text: Column) -> Column:
@@ -121,14 +114,11 @@ def located(text: Column, value: str) -> Column:
     want = fold_of(value)
     spans = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 
-    @F.pandas_udf(spans)
-    def find(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            at = -1 if t is None or want not in fold_of(t) else (found := positions(t))[0].find(want)
-            rows.append((found[1][at], found[2][at + len(want) - 1]) if at >= 0 and want else (None, None))
-        return pd.DataFrame(rows, columns=["start", "end"]).astype("Int32")
+    def find_in(t: str | None) -> dict | None:
+        at = -1 if t is None or want not in fold_of(t) else (found := positions(t))[0].find(want)
+        return {"start": found[1][at], "end": found[2][at + len(want) - 1]} if at >= 0 and want else None
 
+    find = rows.of_text(spans, find_in)
     at = F.instr(F.lower(text), F.lit(want)) if want.isascii() and want else F.lit(0)
     plain = F.struct((at - 1).cast("int").alias("start"), (at - 1 + len(want)).cast("int").alias("end"))
     far = find(_beyond_ascii(text))
