@@ -30,3 +30,10 @@ def cut(df: DataFrame) -> DataFrame:
     """df as a reliable checkpoint."""
     shared(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as Parquet in the shared folder: made once, however often it is read."""
+    path = fresh(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -40,22 +40,23 @@ def basis_of(run: Column) -> Column:
     )
 
 
-def _money(text: Column) -> Column:
-    """A finite amount of 0 or more, given as a number or as its text; true is no amount."""
-    amount = text.try_cast(AMOUNT)
-    return F.when(amount >= 0, amount)
+def _values(run: Column) -> Column:
+    """What a cost is told from: the block's source, amount and currency, and the legacy scalar with its amount."""
+    block, legacy = run.cost_normalized, F.coalesce(run.cost_usd, run.cost)
+    return F.struct(
+        block.source.alias("source"), block.total_cost.try_cast(AMOUNT).alias("total"), F.coalesce(block.currency, F.lit("USD")).alias("currency"),
+        legacy.alias("legacy"), legacy.try_cast(AMOUNT).alias("old"),
+    )
 
 
-def cost_measure(run: Column) -> Column:
-    """The cost of a run: its normalised block, else the legacy scalar in dollars, else missing."""
-    block, legacy = run.cost_normalized, F.coalesce(run.cost_usd, run.cost)
-    source, total, old = block.source, _money(block.total_cost), _money(legacy)
-    currency = F.coalesce(block.currency, F.lit("USD"))
+def _cost(values: Column, basis: Column) -> Column:
+    source, currency = values.source, values.currency
+    total, old = (F.when(v >= 0, v) for v in (values.total, values.old))  # 0 or more, a number or its text; true is no amount
     reason = (
         F.when(source.isin("missing", "not_applicable"), source)
         .when(source.isNotNull() & (total.isNull() | ~F.rlike(currency, F.lit("^[A-Z]{3}$"))), "invalid_cost_block")
         .when(source.isNotNull() & ~source.isin(*PROVENANCE), "unknown_cost_provenance")
-        .when(source.isNull() & legacy.isNull(), "missing")
+        .when(source.isNull() & values.legacy.isNull(), "missing")
         .when(source.isNull() & old.isNull(), "invalid_legacy_cost")
     )
     there = reason.isNull()
@@ -65,10 +66,23 @@ def cost_measure(run: Column) -> Column:
         F.when(there, F.when(source.isNull(), old).otherwise(total)).alias("amount"),
         F.when(there, F.when(source.isNull(), "USD").otherwise(currency)).alias("currency"),
         F.when(there, F.coalesce(source, F.lit("legacy_unverified"))).alias("provenance"),
-        basis_of(run).alias("basis"),
+        basis.alias("basis"),
     )
 
 
+def cost_measure(run: Column) -> Column:
+    """The cost of a run: its normalised block, else the legacy scalar in dollars, else missing."""
+    return _cost(_values(run), basis_of(run))
+
+
+def with_cost(df: DataFrame, text: Column, name: str = "cost") -> DataFrame:
+    """df with the cost of each raw record. A filter on it does not parse the record again: what is read comes out of a generator."""
+    once = lambda c: F.inline(F.array(F.struct(c)))
+    read = df.select("*", once(read_run(text).alias("__run")))
+    read = read.select("*", once(_values(F.col("__run")).alias("__values")))
+    return read.select(*df.columns, _cost(F.col("__values"), basis_of(F.col("__run"))).alias(name))
+
+
 def basis_reason(left: Column, right: Column) -> Column:
     """CST3: why two measurements rest on bases that cannot be compared; null if they can."""
     a, b = left.basis, right.basis

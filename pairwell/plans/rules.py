@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairwell.operators import filters, measures, models, triggers
+from pairwell.operators.lineage import stored
 from pairwell.plans.registry import query
 from pairwell.sources.evalviews import table
 
@@ -82,8 +83,8 @@ BASIS_SQL = """CASE WHEN l.provenance = 'legacy_unverified' OR r.provenance = 'l
 
 def measured(spark, sf_dir):
     """A cost measurement for each line item, and which pair of lines of its order it belongs to."""
-    x = table(spark, sf_dir, "lineitem").withColumn("run", measures.read_run(F.expr(RECORD)))
-    return x.select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 7 != 0).alias("scorable"), measures.cost_measure(F.col("run")).alias("cost"))
+    x = measures.with_cost(table(spark, sf_dir, "lineitem"), F.expr(RECORD))
+    return x.select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 7 != 0).alias("scorable"), "cost")
 
 
 @query("cst2_cost_measurements", f"WITH {MEASURED} SELECT l_orderkey, l_linenumber, availability, why AS reason, amount, currency, provenance, provider, population FROM measured")
@@ -95,7 +96,7 @@ def cst2_cost(spark, sf_dir):
 
 @query("cst3_basis", f"WITH {MEASURED} SELECT l.l_orderkey, l.l_linenumber, {BASIS_SQL} AS reason FROM measured l JOIN measured r ON l.l_orderkey = r.l_orderkey AND l.l_linenumber + 1 = r.l_linenumber WHERE l.why IS NULL AND r.why IS NULL")
 def cst3(spark, sf_dir):
-    m = measured(spark, sf_dir).filter("cost.availability = 'available'")
+    m = stored(measured(spark, sf_dir).filter("cost.availability = 'available'"), "measured")  # both sides of the join read it
     left = m.select("l_orderkey", "l_linenumber", F.col("cost").alias("l"))
     right = m.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("cost").alias("r"))
     return left.join(right, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", measures.basis_reason(F.col("l"), F.col("r")).alias("reason"))
