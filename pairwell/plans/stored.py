@@ -8,7 +8,7 @@ from pairwell.operators.lineage import fresh
 from pairwell.plans.registry import query
 from pairwell.sources import files
 from pairwell.sources.evalviews import table
-from pairwell.sources.folders import RunFolders
+from pairwell.sources.folders import write_runs
 
 
 @query("src1_manifest_cases", """SELECT 1 + (item_id // 10) % 2 AS version, 'suite-' || (item_id // 10) AS skill_name, 'item-' || item_id AS id, CASE WHEN item_id % 4 > 0 THEN 'tune' END AS split, text AS prompt,
@@ -33,7 +33,7 @@ def src1(spark, sf_dir):
 @query("snk5_committed_folders", """SELECT 'page-' || page_id || '/' || CASE WHEN page_id % 2 = 0 THEN 'with_skill' ELSE 'old_skill/run-' || page_id END AS run,
   CASE WHEN page_id % 7 = 3 THEN 3 ELSE 5 END::BIGINT + CASE WHEN page_id % 5 = 0 THEN 1 ELSE 0 END AS files, CASE WHEN page_id % 7 = 3 THEN 'missing_commit' ELSE 'complete' END AS state FROM pages""")
 def snk5(spark, sf_dir):
-    """A run folder for each page by the committing writer, then found again and held against its marker."""
+    """A run folder for each page by the committing job, then found again and held against its marker."""
     i = F.col("page_id")
     run = F.concat(F.lit("page-"), i.cast("string"), F.lit("/"), F.when(i % 2 == 0, "with_skill").otherwise(F.concat(F.lit("old_skill/run-"), i.cast("string"))))
     file = lambda name, text: F.struct(F.lit(name).alias("path"), F.encode(text, "UTF-8").alias("content"))
@@ -43,8 +43,7 @@ def snk5(spark, sf_dir):
     )
     rows = table(spark, sf_dir, "pages").select(run.alias("run"), F.explode(F.array_compact(each)).alias("f")).select("run", "f.path", "f.content")
     root = fresh(spark, "runs")
-    spark.dataSource.register(RunFolders)
-    rows.write.format("run_folders").mode("append").save(root)
+    write_runs(rows, root)
     return files.run_folder_states(spark, root).select("run", "files", "state")
 
 

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairwell.operators.artifacts import MARKER, artifact_states
+from pairwell.operators.artifacts import artifact_states
 from pairwell.operators.traces import event_state, kind_of
+from pairwell.sources.folders import listed_files
 
 CASE = (
     "struct<id:string,split:string,kind:string,domain:string,difficulty:string,trigger_type:string,success_goals:array<string>,"
@@ -75,15 +76,10 @@ _FOLDER = r"^/?((?:[^/]+/){1,2}(?:with_skill|without_skill|old_skill|ablation:[^
 def run_folder_states(spark: SparkSession, root: str, version: int = 1) -> DataFrame:
     """SRC4, SRC5: every run folder below root with its number of files and bytes, and its state by its marker and digests.
 
-    Files are hashed where they are read; what is not below case/[model/]variant/[run-n/] belongs to no run.
+    Tasks list the folders and hash the files, each once; what is not below case/[model/]variant/[run-n/] belongs to no run.
     """
-    inner = F.substring_index("path", root.split("://")[-1].rstrip("/"), -1)
-    found = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-        .select(F.regexp_extract(inner, _FOLDER, 1).alias("run"), F.regexp_extract(inner, _FOLDER, 2).alias("path"), "length", F.sha2("content", 256).alias("sha"),
-                F.when(F.endswith(inner, F.lit("/" + MARKER)), F.decode("content", "UTF-8")).alias("marker"))
-        .filter("run <> ''")
-    )
+    part = lambda i: F.regexp_extract("path", _FOLDER, i)
+    found = listed_files(spark, root).select(part(1).alias("run"), part(2).alias("path"), "length", "sha", "marker").filter("run <> ''")
     runs = found.groupBy("run").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.max("marker").alias("marker"), F.lit(version).alias("declared"))
     states = artifact_states(runs.select("run", "declared", "marker"), found.select("run", "path", "sha"), "run", "declared", "marker", "path", "sha")
     return runs.select("run", "files", "bytes").join(states, "run", "left")
