@@ -55,6 +55,22 @@ def byte_signs(text: str) -> str:
     return text.encode().decode("latin-1").translate(_SIGNS)
 
 
+#: A space's sign; the other printable ASCII signs are themselves.
+_SPACE = byte_signs(" ")
+
+
+class _Words(dict):
+    """ids by word; a word that is not there is encoded when it is asked for, so each is looked up once."""
+
+    def __init__(self, new: Callable[[str], bytes], known: dict[str, bytes] | None = None) -> None:
+        super().__init__(known or {})
+        self.new = new
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = self.new(word)
+        return ids
+
+
 class Encoder:
     """ids of texts as little-endian unsigned 32-bit bytes.
 
@@ -72,8 +88,10 @@ class Encoder:
             raise ValueError("an added token is sought in normal forms of the text")
         self.added = [t.content for t in added]
         self.tokenizer.encode_special_tokens = True
-        self.words: dict[str, bytes] = {}
+        self.merge = self.tokenizer.model.tokenize
+        self.words = _Words(self._new_word)
         self.pieces: dict[str, bytes] = {}
+        self.parts_met: set[str] = set()
 
     def split(self, text: str) -> list[str]:
         raise NotImplementedError
@@ -98,6 +116,26 @@ class Encoder:
         finally:
             self.tokenizer.encode_special_tokens = True
 
+    def _new_word(self, word: str) -> bytes:
+        """The ids of a word that was not met before."""
+        parts = self.pretokens(word)
+        self.parts_met.update(parts)
+        pieces = self.pieces
+        for p in parts:
+            if p not in pieces:
+                pieces[p] = self._new_piece(p)
+        return pieces[parts[0]] if len(parts) == 1 else b"".join([pieces[p] for p in parts])
+
+    def _new_piece(self, piece: str) -> bytes:
+        """The ids of one pre-token: where its form is settled, the merges alone are left to do."""
+        if piece.isascii() and piece.isprintable():
+            ids = [t.id for t in self.merge(piece.replace(" ", _SPACE))]
+        elif _settled(piece) and not _CONTROL.search(piece):
+            ids = [t.id for t in self.merge(byte_signs(piece))]
+        else:
+            ids = self.tokenizer.encode_batch_fast([piece], add_special_tokens=False)[0].ids
+        return array("I", ids).tobytes()
+
     def _encode_batch(self, texts: Iterable[str]) -> list[bytes]:
         texts = list(texts)
         marked = [i for i, t in enumerate(texts) if t and any(a in t for a in self.added)]
@@ -106,29 +144,13 @@ class Encoder:
             for i in marked:
                 texts[i] = ""
         texts = [self.split(t) if t else [] for t in texts]
-        met = set(chain.from_iterable(texts))
-        fresh = {w: self.pretokens(w) for w in met if w not in self.words}
-        if fresh:
-            merge, signs = self.tokenizer.model.tokenize, byte_signs
-            parts_met = set(chain.from_iterable(fresh.values()))
-            unknown = [p for p in parts_met if p not in self.pieces]
-            rest = []
-            for p in unknown:
-                if _settled(p) and not _CONTROL.search(p):  # one pre-token, so the merges alone are left to do
-                    self.pieces[p] = array("I", [t.id for t in merge(signs(p))]).tobytes()
-                else:
-                    rest.append(p)
-            for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-                self.pieces[p] = array("I", e.ids).tobytes()
-            piece = self.pieces.__getitem__
-            for w, parts in fresh.items():
-                self.words[w] = piece(parts[0]) if len(parts) == 1 else b"".join(map(piece, parts))
-            if len(self.pieces) > CACHE_PIECES:
-                self.pieces = {p: self.pieces[p] for p in parts_met}
+        self.parts_met = set()
         word = self.words.__getitem__
         coded = [b"".join(map(word, words)) for words in texts]
+        if len(self.pieces) > CACHE_PIECES:
+            self.pieces = {p: self.pieces[p] for p in self.parts_met}
         if len(self.words) > CACHE_WORDS:
-            self.words = {w: self.words[w] for w in met}
+            self.words = _Words(self._new_word, {w: self.words[w] for w in set(chain.from_iterable(texts))})
         for k, i in enumerate(marked):
             coded[i] = whole[k]
         return coded

@@ -95,3 +95,19 @@ def test_packing_against_brute_force(make_docs, odd_rows):
 
 def test_packing_empty(make_docs):
     assert packing.pack(make_docs([]), BYTES).count() == 0
+
+
+def test_a_new_word_is_encoded_once_when_it_is_met():
+    """No second pass over a batch's words: a full cache of words answers without one, and a cut cache stays right."""
+    from pairwell.llm import tokens
+
+    texts = ["one two  two\tthree\x1cfour", "İstanbul two é 漢字 one", "", "x y 'll don't 12"]
+    for kind, name in ((tokens.WordEncoder, "word_bpe_49k.json"), (tokens.ByteEncoder, "byte_bpe_50k.json")):
+        enc = kind(tokens.tokenizer_path(name))
+        met = []
+        new = enc.words.new
+        enc.words.new = lambda w: met.append(w) or new(w)
+        want = [list(e.ids) for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        for _ in range(2):
+            assert [tokens.as_ids(ids).tolist() for ids in enc.encode_batch(texts)] == want
+        assert len(met) == len(set(met)) == len(enc.words) > 0
